@@ -15,6 +15,24 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), EXACT_2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kabund.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kabund.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kabund.llm.langid import detect_language
+
+    return detect_language(table(spark, sf_dir, "documents"))
+
+
 def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kabund.llm.doc_fingerprints import document_fingerprints
 
@@ -23,6 +41,9 @@ def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op7_quality": op7_quality,
+    "op9_langid": op9_langid,
     "op10_doc_fingerprints": op10_doc_fingerprints,
 }
 
