@@ -88,6 +88,18 @@ def _bounds(ids: DataFrame, buckets: int) -> list[int]:
     return sorted(set(at or []))
 
 
+def _range_of(x: Column, bounds: list[int]) -> Column:
+    """How many bounds are under x (0 for null): searched for among every k-th bound first, then among the k that follow."""
+    if not bounds:
+        return F.lit(0)
+    k = math.isqrt(len(bounds)) + 1
+    under = lambda some: F.size(F.filter(some, lambda b: b < x))
+    all_bounds = F.lit(bounds).cast("array<bigint>")
+    coarse = under(F.lit(bounds[k - 1 :: k] or bounds[:0] or [2**63 - 1]).cast("array<bigint>"))
+    at = coarse * F.lit(k)
+    return F.when(x.isNull(), 0).otherwise(at + under(F.slice(all_bounds, at + 1, F.lit(k))))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """_bucket, _rn, _id, _text, _next: each document's text and that of the next one, by descending doc_id; after the last
     comes the first. Documents of one doc_id are ordered by their text; a null doc_id comes last in descending order.
@@ -96,19 +108,24 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     no task sees more than a range. Only the ranges' bounds and greatest ids, whose number is fixed, reach the driver.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_text"))
     ids = rows.select("_id")
     bounds = _bounds(ids, buckets)
-    bucket = F.when(F.col("_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("_id")))) if bounds else F.lit(0)
+    bucket = _range_of(F.col("_id"), bounds)
     greatest = {r[0]: r[1] for r in ids.groupBy(bucket.alias("_b")).agg(F.max("_id")).collect()}
     filled = sorted(greatest)
-    halo = F.lit(None).cast("int")
-    for a, b in zip(filled, [*filled[1:], *filled[:1]], strict=True):
-        same = F.col("_id").isNull() if greatest[a] is None else F.col("_id") == F.lit(greatest[a])
-        halo = F.when(same, F.lit(b)).otherwise(halo)
+    following = dict(zip(filled, [*filled[1:], *filled[:1]], strict=True))
+    # by range: its greatest id, and the range that gets it as well
+    places = range(len(bounds) + 1)
+    last = F.element_at(F.lit([greatest.get(b, 0) if greatest.get(b) is not None else 0 for b in places]).cast("array<bigint>"), F.col("_bucket") + 1)
+    to = F.element_at(F.lit([following.get(b, 0) for b in places]).cast("array<int>"), F.col("_bucket") + 1)
+    empty = F.lit([b in greatest and greatest[b] is None for b in places])
+    at_end = F.when(F.element_at(empty, F.col("_bucket") + 1), F.col("_id").isNull()).otherwise(F.coalesce(F.col("_id") == last, F.lit(False)))
+    rows = rows.withColumn("_bucket", bucket.cast("int"))
+    halo = F.when(at_end, to)
     # of equal greatest ids all go along, the order below picks the last; in the first range what goes along is the last of all
-    dealt = rows.withColumn("_to", F.array_compact(F.array(F.struct(bucket.cast("int").alias("_bucket"), F.lit(True).alias("_own")), F.when(halo.isNotNull(), F.struct(halo.alias("_bucket"), F.lit(False).alias("_own"))))))
+    dealt = rows.withColumn("_to", F.array_compact(F.array(F.struct("_bucket", F.lit(True).alias("_own")), F.when(halo.isNotNull(), F.struct(halo.alias("_bucket"), F.lit(False).alias("_own"))))))
     dealt = dealt.select("_id", "_text", F.explode("_to").alias("_to")).select("_to._bucket", "_to._own", "_id", "_text")
     order = Window.partitionBy("_bucket").orderBy("_own", F.col("_id").asc_nulls_first(), "_text")
     placed = dealt.select("*", F.row_number().over(order).alias("_rn"), F.lag("_text").over(order).alias("_next"))
