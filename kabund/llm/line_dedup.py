@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kabund.llm.common import text_of, written
+from kabund.llm.common import written
 
 #: Edits that make two lines the same, and the code points of the shortest lines that take part.
 EDITS, LEAST = 2, 24
@@ -28,6 +28,21 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _trimmed(a: Column, b: Column) -> Column:
+    """struct(a, b) without some of what both start or end with: halves that are equal, again and again, which changes no distance."""
+
+    def step(s: Column, i: Column) -> Column:
+        k = F.floor(F.length(s["a"]) / 2).cast("int")
+        start = F.substring(s["a"], F.lit(1), k) == F.substring(s["b"], F.lit(1), k)
+        front = F.struct(F.substring(s["a"], k + 1, F.length(s["a"])).alias("a"), F.substring(s["b"], k + 1, F.length(s["b"])).alias("b"))
+        m, n = F.length(s["a"]) - k, F.length(s["b"]) - k
+        end = F.substring(s["a"], m + 1, k) == F.substring(s["b"], n + 1, k)
+        back = F.struct(F.substring(s["a"], F.lit(1), m).alias("a"), F.substring(s["b"], F.lit(1), n).alias("b"))
+        return F.when(i % 2 == 0, F.when(start, front).otherwise(s)).otherwise(F.when(end, back).otherwise(s))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.struct(a.alias("a"), b.alias("b")), step)
+
+
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether b, at least as long as a, is within `edits` edits of a: true for equal strings, null where one is null.
 
@@ -65,8 +80,11 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         end = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(start).cast("long"), step(ac, bc))
         return F.getbit(end, F.lit(8 * edits + edits) + m - n) == 1
 
+    def rest(ab: Column) -> Column:  # what is left of a may be nothing
+        return F.when(F.length(ab["a"]) > 0, _let(F.struct(points(ab["a"]).alias("a"), points(ab["b"]).alias("b")), run)).otherwise(F.lit(True))
+
     fits = (F.length(b) - F.length(a)).between(0, edits)
-    return F.when(a == b, F.lit(True)).when(fits & (F.length(a) > 0), _let(F.struct(points(a).alias("a"), points(b).alias("b")), run)).otherwise(F.when(a.isNotNull() & b.isNotNull(), fits))
+    return F.when(a == b, F.lit(True)).when(fits & (F.length(a) > 0), _let(_trimmed(a, b), rest)).otherwise(F.when(a.isNotNull() & b.isNotNull(), fits))
 
 
 def _segment(n: Column, i: int, segments: int) -> tuple[Column, Column]:
@@ -77,64 +95,80 @@ def _segment(n: Column, i: int, segments: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) > first_long, 1).otherwise(0)
 
 
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    """array<long>: hashes of (length, number, content) of the line's segments."""
-    n = F.length(line)
-    out = []
-    for i in range(1, edits + 2):
-        start, size = _segment(n, i, edits + 1)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return F.array(*out)
+def index_rows(lines: DataFrame, keep: list[str], edits: int = EDITS) -> DataFrame:
+    """keep and _key: hashes of (length, number, content) of the segments of _wide, the line as four bytes a code point."""
+    n = _points(F.col("_wide"))
+    keys = [F.xxhash64(n, F.lit(i), _cut(*_segment(n, i, edits + 1))) for i in range(1, edits + 2)]
+    return lines.select(*keep, F.explode_outer(F.array(*keys)).alias("_key"))
+
+
+def _points(wide: Column) -> Column:
+    return F.shiftright(F.octet_length(wide), 2)
+
+
+def _cut(at: Column, size: Column) -> Column:
+    """Code points of _wide. In text, a place is found by walking there; in four bytes a code point it is known."""
+    return F.substring("_wide", F.shiftleft(at, 2) - 3, F.shiftleft(size, 2))
 
 
-def probe_keys(line: Column, least: int, edits: int = EDITS) -> Column:
-    """array<long>: keys under which a line of this length or up to `edits` less would stand, if it is within the edits.
+def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS) -> DataFrame:
+    """keep and _key: the keys under which lines of this length, or of up to `edits` less, would stand if _wide is within the edits.
 
-    Offsets are those of the multi-match-aware selection: i - 1 edits at most before segment i, the rest after it.
+    A segment behind i - 1 others is off by i - 1 at most, and by what the lengths' difference leaves to those behind it
+    (multi-match-aware selection).
     """
-    n = F.length(line)
-    out = []
+    keys = []
+    whole = _points(F.col("_wide"))
     for d in range(edits + 1):
-        shorter = n - F.lit(d)
+        n = whole - F.lit(d)
         for i in range(1, edits + 2):
-            start, size = _segment(shorter, i, edits + 1)
+            start, size = _segment(n, i, edits + 1)
             for off in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
                 at = start + F.lit(off)
-                fits = (shorter >= least) & (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(fits, F.xxhash64(shorter, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                fits = (n >= least) & (at >= 1) & (at + size - 1 <= whole)
+                keys.append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
+    # as columns first: what they have in common is computed once, and the code is split into methods that get compiled
+    each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    return each.select(*keep, F.explode_outer(F.array(*[f"_k{i}" for i in range(len(keys))])).alias("_key")).where("_key is not null")
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc, gone): of each _doc, the places (from 0) of its lines that go. docs: _doc (not null), _text."""
-    long_ones = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda s: F.length(s["line"]) >= least)
-    lines = docs.select("_doc", F.explode(long_ones(_lines(F.col("_text")))).alias("_l"))
-    hashed = lines.select("_doc", F.col("_l.at").alias("_at"), F.xxhash64("_l.line").alias("_h"), F.xxhash64(F.lit(1), F.reverse("_l.line")).alias("_g"))
-    # the first place of each distinct line; one number holds document and place, so that partial minima are fixed in size
-    order = F.col("_doc").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("_at")
-    firsts = written(hashed.withColumn("_order", order.cast("decimal(38,0)")).groupBy("_h", "_g").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")), "lines")
-    place = lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")
-    own = lambda x: ((x - F.pmod(x, F.lit(1 << 31))) / F.lit(1 << 31)).cast("long")
-    by_doc = firsts.select(own(F.col("_first")).alias("_d"), place(F.col("_first")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_firsts"))
-    held = docs.join(by_doc, F.col("_doc") == F.col("_d")).select("_doc", _lines(F.col("_text")).alias("_lines"), "_firsts")
-    distinct = held.select("_doc", F.explode("_firsts").alias("_at"), "_lines").select("_doc", "_at", F.element_at("_lines", F.col("_at") + 1).alias("_line"))
-    entries = distinct.select("_doc", "_at", F.explode(index_keys(F.col("_line"), edits)).alias("_key"))
-    probes = distinct.select(F.col("_doc").alias("_pdoc"), F.col("_at").alias("_pat"), F.explode(probe_keys(F.col("_line"), least, edits)).alias("_key"))
-    met = entries.join(probes, "_key").where("_doc <> _pdoc or _at <> _pat").select("_doc", "_at", "_pdoc", "_pat").distinct()
-    texts = distinct.select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
-    one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
-    both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
-    near = both.where(within_edits(F.col("_a"), F.col("_b"), edits))
-    later = F.when((F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat"))), F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
-    gone = near.select(later.alias("_later")).select("_later.d", "_later.a").distinct()
+def _picked(base: DataFrame, places: DataFrame) -> DataFrame:
+    """(_doc, _at, _line): the lines of base at places (_d, _ats), an array for each document."""
+    held = base.join(places.hint("shuffle_hash"), F.col("_doc") == F.col("_d"))  # places are small next to the texts
+    picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_ats"), lambda at: F.struct(at.alias("_at"), F.element_at(ls, at + 1).alias("_line"))))
+    return held.select("_doc", F.explode_outer(F.element_at(picked, 1)).alias("_l")).select("_doc", "_l._at", "_l._line").where("_doc is not null and _at is not null")
+
+
+def removed_lines(base: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(_gone_doc, _gone_ats): of each _doc, the places (from 0) of its lines that go. base: _doc and _text, not null."""
+    lines = base.select("_doc", F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") >= least)
+    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"))
+    # the first place of each distinct line
+    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n")), "lines")
+    by_doc = firsts.select(F.col("_first._doc").alias("_d"), F.col("_first._at").alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
+    distinct = _picked(base, by_doc)
+    wide = distinct.select("_doc", "_at", F.encode("_line", "UTF-32").alias("_wide"))
+    entries = index_rows(wide, ["_doc", "_at"], edits)
+    probes = probe_rows(wide, ["_doc", "_at"], least, edits).select(F.col("_doc").alias("_pdoc"), F.col("_at").alias("_pat"), "_key")
+    met = entries.join(probes, "_key").where("_doc <> _pdoc or _at <> _pat").select("_doc", "_at", "_pdoc", "_pat").distinct() if edits else None
     # occurrences of a line behind its first one
-    again = hashed.join(firsts.where("_n > 1").select("_h", "_g", own(F.col("_first")).alias("_fd"), place(F.col("_first")).alias("_fa")), ["_h", "_g"]).where("_doc <> _fd or _at <> _fa")
-    # a line that goes, goes everywhere: its other occurrences are later still
-    return gone.union(again.select(F.col("_doc").alias("d"), F.col("_at").alias("a"))).groupBy(F.col("d").alias("doc")).agg(F.collect_set("a").alias("gone"))
+    repeated = firsts.where("_n > 1").select("_h", "_g", F.col("_first._doc").alias("_fd"), F.col("_first._at").alias("_fa"))
+    gone = hashed.join(repeated, ["_h", "_g"]).where("_doc <> _fd or _at <> _fa").select(F.col("_doc").alias("d"), F.col("_at").alias("a"))
+    if met is not None:
+        ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set("_at").alias("_ats"))
+        texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
+        one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
+        both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
+        near = both.where(within_edits(F.col("_a"), F.col("_b"), edits))
+        earlier = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat")))
+        later = F.when(earlier, F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
+        # a line that goes, goes everywhere: its other occurrences are later still
+        gone = gone.union(near.select(later.alias("_later")).select("_later.d", "_later.a"))
+    return gone.groupBy(F.col("d").alias("_gone_doc")).agg(F.collect_set("a").alias("_gone_ats"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -144,12 +178,24 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     occurs at the same place of several rows with one doc_id, all stay. Documents whose id is null are left as they are,
     as they have no place in the order. length_col gets the new number of code points. An empty table gives an empty one.
     """
-    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_doc"), text_of(text_col).alias("_text"))
-    gone = written(removed_lines(base, edits, least), "gone")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("doc"), "left") if "doc" not in docs.columns else docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(id_col).cast("long") == F.col("__doc"), "left")
-    lines = _lines(F.col(text_col))
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("gone"), s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
-    counts = [F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("_gone")]
-    out = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
+    known = F.col(id_col).cast("long").isNotNull() & F.col(text_col).isNotNull()
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    # _r: the other columns; without any, all exchanges of the texts are the same one
+    others = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_r")] if rest else []
+    rows = docs.where(known).select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *others)
+    gone = removed_lines(rows.select("_doc", "_text"), edits, least).hint("shuffle_hash")
+    lines = _lines(F.col("_text"))
+    left = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_gone_ats"), s["i"]))
+    text = F.when(F.col("_gone_ats").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left(lines), lambda s: s["x"]), "\n"))
+    kept = rows.join(gone, F.col("_doc") == F.col("_gone_doc"), "left").select("_doc", text.alias("_text"), *(["_r"] if rest else []), F.size(lines).alias("_lines"), F.coalesce(F.size("_gone_ats"), F.lit(0)).alias("_gone"))
+
+    def column(c: str) -> Column:
+        kind = docs.schema[c].dataType
+        if c == id_col:
+            return F.col("_doc").cast(kind).alias(c)
+        if c == text_col:
+            return F.col("_text").cast(kind).alias(c)
+        return F.length("_text").cast(kind).alias(c) if c == length_col else F.col("_r")[c].alias(c)
+
+    kept = kept.select(*[column(c) for c in docs.columns], "_lines", "_gone")
+    return kept.unionByName(docs.where(~known).select("*", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col)))).alias("_lines"), F.lit(0).alias("_gone")))
