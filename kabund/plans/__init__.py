@@ -1 +1 @@
-
+"""Plans: the index engine and the registered queries."""

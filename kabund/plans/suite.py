@@ -1,6 +1,453 @@
-"""Registered queries over the driver's tables, each with the same result as SQL."""
+"""Registered queries over the driver's tables, each with the same result as SQL.
+
+The tables hold no sequences: a document's letters are mapped to A, C, G and T, its source is the dataset, and its abundance is
+1 + doc_id % 97. Benchmark texts, mapped alike, are what is looked up. All rows and whole texts take part.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kabund.functions import sequences as S
+from kabund.operators import formats as O
+from kabund.operators import index as I
+from kabund.operators import lookup as L
+from kabund.params import IndexParams, Sampling, false_positive_rate
+from kabund.sources import fasta
+
+K, M, Z = 21, 11, 4
+PARAMS = IndexParams(k=K, m=M, findere_z=Z, partitions=64)
+PLAIN = IndexParams(k=K, m=M, findere_z=0, partitions=64)
+NORMAL = 1_000_000
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+# inputs
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bases(text: Column) -> Column:
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, BASES)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", (F.lit(1) + F.col("doc_id") % 97).cast("int").alias("count"), bases(F.col("text")).alias("seq"))
+
+
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each source: few, by nature."""
+    named = _table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    return named.select((F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("color_id"), "name")
+
+
+def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).join(colors(spark, sf_dir), F.col("source") == F.col("name")).select("color_id", "count", "seq")
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_idx"), F.concat(F.lit("item"), "item_id").alias("id"), F.lit(None).cast("string").alias("description"), bases(F.col("text")).alias("seq"))
+
+
+def _abundances(spark: SparkSession, sf_dir: str, p: IndexParams = PARAMS) -> DataFrame:
+    return L.kmer_abundances(looked_up(spark, sf_dir), I.postings(unitigs(spark, sf_dir), p), colors(spark, sf_dir), p)
+
+
+# SQL fragments
+def _bases_sql(x: str) -> str:
+    return f"translate(regexp_replace(lower({x}), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
+
+
+def _levels_sql(p: IndexParams = PARAMS) -> str:
+    return "(VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in p.quantiser.table) + ") AS levels(level, least, value)"
+
+
+_U = f"u AS (SELECT doc_id, source, (1 + doc_id % 97)::INT AS count, {_bases_sql('text')} AS seq FROM documents)"
+_C = "c AS (SELECT (row_number() OVER (ORDER BY source) - 1)::INT AS color_id, source AS name FROM (SELECT DISTINCT source FROM documents))"
+_Q = f"q AS (SELECT item_id AS query_idx, {_bases_sql('text')} AS seq FROM benchmark)"
+
+
+def _canon(x: str) -> str:
+    return f"least({x}, translate(reverse({x}), 'ACGT', 'TGCA'))"
+
+
+def _lv(p: IndexParams = PARAMS) -> str:
+    return f"lv AS (SELECT level, least, value, coalesce(lead(least) OVER (ORDER BY level), 1000000) AS upto FROM {_levels_sql(p)})"
+
+
+def _index(s: int) -> str:
+    return f"""r AS (SELECT c.color_id, u.doc_id, u.count, lv.level, u.seq FROM u JOIN c ON u.source = c.name JOIN lv ON u.count >= lv.least AND u.count < lv.upto WHERE length(u.seq) >= {s}),
+e AS (SELECT color_id, level, substr(seq, i, {s}) AS f FROM (SELECT color_id, level, seq, unnest(range(1, length(seq) - {s} + 2)) AS i FROM r)),
+ix AS (SELECT {_canon('f')} AS smer, color_id, max(level) AS level FROM e GROUP BY 1, 2)"""
+
+
+def _qs(s: int) -> str:
+    return f"""qe AS (SELECT query_idx, (i - 1)::INT AS pos, {_canon(f'substr(seq, i, {s})')} AS smer FROM (SELECT query_idx, seq, unnest(range(1, length(seq) - {s} + 2)) AS i FROM q WHERE length(seq) >= {K}))"""
+
+
+def _ab(z: int) -> str:
+    """WITH ... ab(query_idx, color_id, pos, ab): k-mer abundances."""
+    s = K - z
+    return f"""WITH {_U}, {_C}, {_Q}, {_lv()}, {_index(s)}, {_qs(s)},
+g AS (SELECT qe.query_idx, c.color_id, qe.pos, coalesce(lv.value, 0)::INT AS ab FROM qe CROSS JOIN c LEFT JOIN ix ON ix.smer = qe.smer AND ix.color_id = c.color_id LEFT JOIN lv ON lv.level = ix.level),
+ab AS (SELECT query_idx, color_id, pos, ab FROM (SELECT query_idx, color_id, pos, min(ab) OVER w AS ab, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY query_idx, color_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {z} FOLLOWING)) WHERE n = {z + 1}),
+kc AS (SELECT color_id, sum(count * greatest(0, length(seq) - {K - 1}))::BIGINT AS kmer_count FROM r GROUP BY color_id)"""
+
+
+_AB = _ab(Z)
+
+# sources and headers
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("doc_id") % 3 == 0, " ka:f:").when(F.col("doc_id") % 3 == 1, " LN:i:9 km:f:").otherwise(" xx:f:")
+    number = F.when(F.col("doc_id") % 11 == 0, "bad").otherwise(F.floor((F.col("doc_id") * 37 % 140000) / 2).cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), "doc_id", tag, number, F.lit(" L:+:5:+")).alias("header"))
+
+
+_H = "h AS (SELECT doc_id, concat('doc', doc_id, CASE doc_id % 3 WHEN 0 THEN ' ka:f:' WHEN 1 THEN ' LN:i:9 km:f:' ELSE ' xx:f:' END, CASE WHEN doc_id % 11 = 0 THEN 'bad' ELSE ((doc_id * 37 % 140000) // 2)::VARCHAR END, ' L:+:5:+') AS header FROM documents)"
+
+
+@query("unitig_scan", f"WITH {_U} SELECT doc_id, source, count, length(seq)::INT AS n, md5(seq) AS seq_md5 FROM u")
+def unitig_scan(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "source", "count", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+@query("header_dialect", f"WITH {_H} SELECT CASE WHEN contains(header, 'km:f:') THEN 'km:f:' WHEN contains(header, 'ka:f:') THEN 'ka:f:' END AS dialect, count(*) AS n FROM h GROUP BY 1")
+def header_dialect(spark, sf_dir):
+    return _headers(spark, sf_dir).groupBy(fasta.dialect(F.col("header")).alias("dialect")).agg(F.count("*").alias("n"))
+
+
+_TAGGED = r"try_cast(coalesce(nullif(regexp_extract(header, '(?:^|\s)km:f:(\S+)', 1), ''), regexp_extract(header, '(?:^|\s)ka:f:(\S+)', 1)) AS DOUBLE)"
+
+
+@query("header_count_extract", f"WITH {_H} SELECT doc_id, CASE WHEN v IS NULL THEN -1 ELSE least(65535, greatest(0, floor(v)))::INT END AS count FROM (SELECT doc_id, {_TAGGED} AS v FROM h)")
+def header_count_extract(spark, sf_dir):
+    h = F.col("header")
+    return _headers(spark, sf_dir).select("doc_id", F.coalesce(fasta.header_count(h, fasta.dialect(h)), F.lit(-1)).alias("count"))
+
+
+@query("dataset_names", r"SELECT page_id, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(\.?[^.]*)', 1) AS name FROM pages")
+def dataset_names(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", S.file_prefix(F.col("url")).alias("name"))
+
+
+@query("full_header", "SELECT doc_id, trim(concat('>', 'doc', doc_id, ' ', coalesce(source, ''))) AS header FROM documents")
+def full_header(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", S.full_header(F.concat(F.lit("doc"), "doc_id"), F.col("source")).alias("header"))
+
+
+@query("abundance_filter", f"WITH {_U} SELECT doc_id, count FROM u WHERE count > 20 AND length(seq) >= {K - Z}")
+def abundance_filter(spark, sf_dir):
+    p = IndexParams(k=K, findere_z=Z, abundance_min=20)
+    return I.accepted(documents(spark, sf_dir), p).select("doc_id", "count")
+
+
+# levels
+_QTY = "SELECT l_orderkey, l_linenumber, (l_quantity * l_quantity * 25)::INT AS v FROM lineitem"
+
+
+def _quantities(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * F.col("l_quantity") * 25).cast("int").alias("v"))
+
+
+@query("level_encode", f"WITH {_lv()}, x AS ({_QTY}) SELECT v, level, count(*) AS n FROM x JOIN lv ON least(v, 65024) >= least AND least(v, 65024) < upto GROUP BY v, level")
+def level_encode(spark, sf_dir):
+    return _quantities(spark, sf_dir).groupBy("v").agg(F.count("*").alias("n")).select("v", S.encode_level(F.col("v"), PARAMS.quantiser).alias("level"), "n")
+
+
+@query("level_decode", f"WITH {_lv()}, x AS (SELECT DISTINCT (l_quantity * 5)::INT AS level FROM lineitem) SELECT x.level, value FROM x JOIN lv USING (level) WHERE x.level < 255")
+def level_decode(spark, sf_dir):
+    levels = _table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 5).cast("int").alias("level")).distinct().where("level < 255")
+    return levels.select("level", S.decode_level(F.col("level"), PARAMS.quantiser).alias("value"))
+
+
+@query("level_roundtrip_error", f"WITH {_lv()}, x AS ({_QTY}) SELECT count(*) AS n, round(avg((v - value) / v::DOUBLE), 9) AS mean_error, round(max((v - value) / v::DOUBLE), 9) AS max_error, sum((value > v)::INT)::BIGINT AS over FROM x JOIN lv ON least(v, 65024) >= least AND least(v, 65024) < upto")
+def level_roundtrip_error(spark, sf_dir):
+    q = PARAMS.quantiser
+    x = _quantities(spark, sf_dir).withColumn("value", S.decode_level(S.encode_level(F.col("v"), q), q))
+    error = (F.col("v") - F.col("value")) / F.col("v").cast("double")
+    return x.agg(F.count("*").alias("n"), F.round(F.avg(error), 9).alias("mean_error"), F.round(F.max(error), 9).alias("max_error"), F.sum((F.col("value") > F.col("v")).cast("int")).alias("over"))
+
+
+# s-mers
+def _exploded(s: int, what: str) -> str:
+    return f"WITH {_U}, e AS (SELECT doc_id, i, substr(seq, i, {s}) AS f FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - {s} + 2)) AS i FROM u WHERE length(seq) >= {s})) {what}"
+
+
+@query("kmer_explode", _exploded(K, "SELECT doc_id, count(*) AS n, sum(i - 1)::BIGINT AS places, min(f) AS least, max(f) AS greatest, count(DISTINCT f) AS kinds FROM e GROUP BY doc_id"))
+def kmer_explode(spark, sf_dir):
+    e = S.explode_smers(documents(spark, sf_dir).select("doc_id", "seq"), K, False)
+    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.min("smer").alias("least"), F.max("smer").alias("greatest"), F.countDistinct("smer").alias("kinds"))
+
+
+@query("kmer_canonical", _exploded(K, f"SELECT substr({_canon('f')}, 1, 4) AS start, count(*) AS n, count(DISTINCT {_canon('f')}) AS kinds FROM e GROUP BY 1"))
+def kmer_canonical(spark, sf_dir):
+    e = S.explode_smers(documents(spark, sf_dir).select("seq"), K)
+    return e.groupBy(F.substring("smer", 1, 4).alias("start")).agg(F.count("*").alias("n"), F.countDistinct("smer").alias("kinds"))
+
+
+@query("kmer_stranded", _exploded(K, "SELECT substr(f, 1, 4) AS start, count(*) AS n, count(DISTINCT f) AS kinds FROM e GROUP BY 1"))
+def kmer_stranded(spark, sf_dir):
+    e = S.explode_smers(documents(spark, sf_dir).select("seq"), K, False)
+    return e.groupBy(F.substring("smer", 1, 4).alias("start")).agg(F.count("*").alias("n"), F.countDistinct("smer").alias("kinds"))
+
+
+@query("reverse_complement", f"WITH {_U} SELECT doc_id, md5(translate(reverse(seq), 'ACGTN', 'TGCAT')) AS rc_md5, md5({_canon('seq')}) AS canonical_md5 FROM u")
+def reverse_complement(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", F.md5(S.reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"), F.md5(S.canonical(F.col("seq")).cast("binary")).alias("canonical_md5"))
+
+
+# minimizers: of the looked-up sequences
+_MD5 = "('0x' || substr(md5({x}), 1, 15))::BIGINT"
+_MINI = f"""WITH {_Q}, e AS (SELECT query_idx, i - 1 AS pos, substr(seq, i, {K}) AS f FROM (SELECT query_idx, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM q WHERE length(seq) >= {K})),
+mm AS (SELECT query_idx, pos, f, substr(f, j, {M}) AS w FROM (SELECT *, unnest(range(1, {K - M + 2})) AS j FROM e)),
+mi AS (SELECT query_idx, pos, {_canon('f')} AS smer, min({_MD5.format(x=_canon('w'))}) AS mini FROM mm GROUP BY query_idx, pos, f)"""
+
+
+def _minimizers(spark, sf_dir):
+    return S.explode_minimizers(looked_up(spark, sf_dir).select("query_idx", "seq"), K, M)
+
+
+@query("minimizer_assign", f"{_MINI} SELECT query_idx, pos::BIGINT AS pos, smer, mini FROM mi")
+def minimizer_assign(spark, sf_dir):
+    return _minimizers(spark, sf_dir).select("query_idx", F.col("pos").cast("long").alias("pos"), "smer", "mini")
+
+
+@query("partition_histogram", f"{_MINI} SELECT (mini % 510)::INT AS part, count(*) AS n FROM mi GROUP BY 1")
+def partition_histogram(spark, sf_dir):
+    return _minimizers(spark, sf_dir).groupBy(F.pmod("mini", F.lit(510)).cast("int").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("superkmers", f"{_MINI}, f AS (SELECT *, CASE WHEN mini IS DISTINCT FROM lag(mini) OVER (PARTITION BY query_idx ORDER BY pos) THEN 1 ELSE 0 END AS new FROM mi), g AS (SELECT *, sum(new) OVER (PARTITION BY query_idx ORDER BY pos) AS run FROM f) SELECT query_idx, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, any_value(mini) AS mini FROM g GROUP BY query_idx, run")
+def superkmers(spark, sf_dir):
+    m = _minimizers(spark, sf_dir).select("query_idx", F.col("pos").cast("long").alias("pos"), F.col("mini").alias("ab"))
+    return O.runs(m, ("query_idx",)).select("query_idx", "first", "last", F.col("ab").alias("mini"))
+
+
+@query("minimizer_sampling", f"{_MINI} SELECT query_idx, count(*) AS n, sum((mini & 3 = 0)::INT)::BIGINT AS kept FROM mi GROUP BY query_idx")
+def minimizer_sampling(spark, sf_dir):
+    keep = S.sampled(Sampling("minimizer", 2), None, F.col("mini"))
+    return _minimizers(spark, sf_dir).groupBy("query_idx").agg(F.count("*").alias("n"), F.sum(keep.cast("int")).alias("kept"))
+
+
+_HASHED = f"WITH {_Q}, e AS (SELECT query_idx, i - 1 AS pos, {_canon(f'substr(seq, i, {K})')} AS smer FROM (SELECT query_idx, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM q WHERE length(seq) >= {K})), x AS (SELECT *, {_MD5.format(x='smer')} AS h FROM e)"
+
+
+def _hashed(spark, sf_dir):
+    return S.explode_smers(looked_up(spark, sf_dir).select("query_idx", "seq"), K).withColumn("h", S.md5_hash(F.col("smer")))
+
+
+@query("kmer_sampling", f"{_HASHED} SELECT query_idx, count(*) AS n, sum((h & 3 = 0)::INT)::BIGINT AS kept FROM x GROUP BY query_idx")
+def kmer_sampling(spark, sf_dir):
+    return _hashed(spark, sf_dir).groupBy("query_idx").agg(F.count("*").alias("n"), F.sum(S.sampled(Sampling("kmer", 2), F.col("h"), None).cast("int")).alias("kept"))
+
+
+@query("bloom_slot_address", f"{_HASHED} SELECT query_idx, pos::BIGINT AS pos, h & 65535 AS slot, ((h & 65535) * 20 + query_idx % 20) * 255 + pos % 255 AS address FROM x")
+def bloom_slot_address(spark, sf_dir):
+    slot = S.bloom_slot(F.col("h"), 16)
+    x = _hashed(spark, sf_dir)
+    return x.select("query_idx", F.col("pos").cast("long").alias("pos"), slot.alias("slot"), S.bit_address(slot, F.col("query_idx") % 20, F.col("pos") % 255, 20, 255).alias("address"))
+
+
+# index
+_IX = f"WITH {_U}, {_C}, {_lv()}, {_index(K - Z)}"
+_IX0 = f"WITH {_U}, {_C}, {_lv()}, {_index(K)}"
+
+
+@query("index_max_level", f"{_IX} SELECT color_id, level::INT AS level, count(*) AS n, min(smer) AS least, max(smer) AS greatest FROM ix GROUP BY 1, 2")
+def index_max_level(spark, sf_dir):
+    post = I.postings(unitigs(spark, sf_dir), PARAMS)
+    return post.groupBy("color_id", "level").agg(F.count("*").alias("n"), F.min("smer").alias("least"), F.max("smer").alias("greatest"))
+
+
+@query("kmer_count_per_color", f"{_IX} SELECT color_id, sum(count * greatest(0, length(seq) - {K - 1}))::BIGINT AS kmer_count FROM r GROUP BY color_id")
+def kmer_count_per_color(spark, sf_dir):
+    return I.kmer_counts(unitigs(spark, sf_dir), PARAMS)
+
+
+@query("dense_sparse_split", f"{_IX}, d AS (SELECT smer, count(*) AS n FROM ix GROUP BY smer) SELECT n AS n_colors, n >= (SELECT count(*) FROM c) - 5 AS dense, count(*) AS keys FROM d GROUP BY 1, 2")
+def dense_sparse_split(spark, sf_dir):
+    n = colors(spark, sf_dir).count()
+    return I.dense_split(I.postings(unitigs(spark, sf_dir), PARAMS), n, 5).groupBy("n_colors", "dense").agg(F.count("*").alias("keys"))
+
+
+@query("collision_stats", f"{_IX}, s AS (SELECT {_MD5.format(x='smer')} & 1048575 AS slot, color_id, count(*) AS keys, count(DISTINCT level) AS levels FROM ix GROUP BY 1, 2) SELECT sum(levels)::BIGINT AS ones, sum(levels - 1)::BIGINT AS misleading, sum(keys - levels)::BIGINT AS silent FROM s")
+def collision_stats(spark, sf_dir):
+    from dataclasses import replace
+
+    small = replace(PARAMS, bloom_bits_log2=20)
+    return I.statistics(I.sketch(I.postings(unitigs(spark, sf_dir), PARAMS), small, S.md5_hash))
+
+
+@query("chunk_ids", f"WITH {_C} SELECT name, color_id, (color_id // 6)::INT AS chunk FROM c")
+def chunk_ids(spark, sf_dir):
+    return colors(spark, sf_dir).select("name", "color_id", I.chunk_of(F.col("color_id"), 6).alias("chunk"))
+
+
+@query("sort_files", "SELECT name, bytes, (row_number() OVER (ORDER BY bytes NULLS LAST, name) - 1)::INT AS color_id FROM (SELECT source AS name, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source)")
+def sort_files(spark, sf_dir):
+    sizes = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return sizes.select("name", "bytes", (F.row_number().over(Window.orderBy(F.asc_nulls_last("bytes"), "name")) - 1).cast("int").alias("color_id"))
+
+
+@query("infos", f"{_IX}, k AS (SELECT color_id, sum(count * greatest(0, length(seq) - {K - 1}))::BIGINT AS kmer_count FROM r GROUP BY color_id) SELECT c.color_id, c.name, coalesce(kmer_count, 0) AS kmer_count, {K} AS k, {Z} AS findere_z FROM c LEFT JOIN k USING (color_id)")
+def infos(spark, sf_dir):
+    return _engine(spark, sf_dir).infos().select("color_id", "name", "kmer_count", "k", "findere_z")
+
+
+@query("rename_dataset", f"WITH {_C} SELECT color_id, CASE WHEN name = 'src3' THEN 'renamed' ELSE name END AS name FROM c")
+def rename_dataset(spark, sf_dir):
+    return _engine(spark, sf_dir).rename("src3", "renamed").colors.select("color_id", "name")
+
+
+def _engine(spark, sf_dir):
+    from kabund.plans.engine import KmerIndex
+
+    return KmerIndex.from_unitigs(unitigs(spark, sf_dir), colors(spark, sf_dir), PARAMS)
+
+
+def _two_parts(spark, sf_dir):
+    """The datasets in two indexes, those of even ids first."""
+    from kabund.plans.engine import KmerIndex
+
+    u, c = unitigs(spark, sf_dir), colors(spark, sf_dir)
+    half = lambda df, odd: df.where(F.col("color_id") % 2 == odd).withColumn("color_id", F.floor(F.col("color_id") / 2).cast("int"))
+    return [KmerIndex.from_unitigs(half(u, x), half(c, x), PARAMS) for x in (0, 1)]
+
+
+@query("merge_indexes", f"{_IX} SELECT CASE WHEN color_id % 2 = 0 THEN color_id // 2 ELSE (SELECT count(*) FROM c WHERE color_id % 2 = 0) + color_id // 2 END::INT AS color_id, count(*) AS keys, sum(level)::BIGINT AS levels FROM ix GROUP BY 1")
+def merge_indexes(spark, sf_dir):
+    from kabund.plans.engine import KmerIndex
+
+    merged = KmerIndex.merge(_two_parts(spark, sf_dir))
+    return merged.postings.groupBy("color_id").agg(F.count("*").alias("keys"), F.sum("level").alias("levels"))
+
+
+@query("merge_equals_single_build", "SELECT 0::BIGINT AS different")
+def merge_equals_single_build(spark, sf_dir):
+    from kabund.plans.engine import KmerIndex
+
+    merged = KmerIndex.merge(_two_parts(spark, sf_dir))
+    named = lambda ix: ix.postings.join(ix.colors.select("color_id", "name"), "color_id").select("name", "smer", "level")
+    both = named(merged).withColumn("side", F.lit(1)).union(named(_engine(spark, sf_dir)).withColumn("side", F.lit(-1)))
+    return both.groupBy("name", "smer", "level").agg(F.sum("side").alias("s")).where("s <> 0").agg(F.count("*").alias("different"))
+
+
+# lookup and formats
+@query("lookup_hits", f"WITH {_U}, {_C}, {_Q}, {_lv()}, {_index(K - Z)}, {_qs(K - Z)} SELECT query_idx, ix.color_id, pos, value::INT AS ab FROM qe JOIN ix USING (smer) JOIN lv ON lv.level = ix.level")
+def lookup_hits(spark, sf_dir):
+    smers = L.query_smers(looked_up(spark, sf_dir), PARAMS)
+    return L.hits(smers, I.postings(unitigs(spark, sf_dir), PARAMS), PARAMS).select("query_idx", "color_id", "pos", "ab")
+
+
+@query("findere_rolling_min", f"{_AB} SELECT query_idx, color_id, pos, ab FROM ab")
+def findere_rolling_min(spark, sf_dir):
+    return _abundances(spark, sf_dir).select("query_idx", "color_id", "pos", "ab")
+
+
+_MEDIAN = f"{_AB} SELECT query_idx, color_id, value FROM (SELECT query_idx, color_id, median(CASE WHEN ab > 0 THEN ab END) AS value, sum((ab = 0)::INT) AS zeros, count(*) AS n FROM ab GROUP BY 1, 2) WHERE value > 0 AND (zeros::FLOAT / n::FLOAT)::FLOAT < 0.5::FLOAT"
+
+
+@query("fmt_median_coverage", _MEDIAN)
+def flagship(spark, sf_dir):
+    p = PARAMS
+    ab = L.kmer_abundances(looked_up(spark, sf_dir), I.postings(unitigs(spark, sf_dir), p), colors(spark, sf_dir), p, all_pairs=False)
+    return O.covered_medians(ab, 0.5)
+
+
+def _counts(spark, sf_dir):
+    return I.kmer_counts(unitigs(spark, sf_dir), PARAMS)
+
+
+@query("fmt_matrix_average", f"{_AB} SELECT query_idx, color_id, round(avg(ab), 9) AS value FROM ab GROUP BY 1, 2")
+def fmt_matrix_average(spark, sf_dir):
+    return O.mean_cells(_abundances(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+@query("fmt_matrix_average_normalized", f"{_AB} SELECT query_idx, color_id, round(v / kmer_count * {NORMAL}, 6) AS value FROM (SELECT query_idx, color_id, avg(ab) AS v FROM ab GROUP BY 1, 2) JOIN kc USING (color_id)")
+def fmt_matrix_average_normalized(spark, sf_dir):
+    return O.normalised(O.mean_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL).withColumn("value", F.round("value", 6))
+
+
+@query("fmt_matrix_median", f"{_AB} SELECT query_idx, color_id, median(ab) AS value FROM ab GROUP BY 1, 2")
+def fmt_matrix_median(spark, sf_dir):
+    return O.median_cells(_abundances(spark, sf_dir))
+
+
+@query("fmt_matrix_median_normalized", f"{_AB} SELECT query_idx, color_id, round(v / kmer_count * {NORMAL}, 6) AS value FROM (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) JOIN kc USING (color_id)")
+def fmt_matrix_median_normalized(spark, sf_dir):
+    return O.normalised(O.median_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL).withColumn("value", F.round("value", 6))
+
+
+_RUNS = f"{_AB}, x AS (SELECT *, CASE WHEN ab IS DISTINCT FROM lag(ab) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM ab WINDOW w AS (PARTITION BY query_idx, color_id ORDER BY pos)), y AS (SELECT *, sum(new) OVER (PARTITION BY query_idx, color_id ORDER BY pos) AS run FROM x), z AS (SELECT query_idx, color_id, min(pos) AS a, max(pos) AS b, any_value(ab) AS ab FROM y GROUP BY query_idx, color_id, run)"
+
+
+def _cells(value: str) -> str:
+    return f"string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END || ':' || CASE WHEN ab = 0 THEN '*' ELSE {value} END, ',' ORDER BY a)"
+
+
+@query("fmt_matrix_raw_rle", f"{_RUNS} SELECT query_idx, color_id, {_cells('ab::VARCHAR')} AS cell FROM z GROUP BY 1, 2")
+def fmt_matrix_raw_rle(spark, sf_dir):
+    return O.run_length_cells(_abundances(spark, sf_dir))
+
+
+@query("fmt_matrix_raw_rle_normalized", f"{_RUNS} SELECT query_idx, color_id, a AS first, b AS last, round(ab / kmer_count::DOUBLE * {NORMAL}, 6) AS value FROM z JOIN kc USING (color_id)")
+def fmt_matrix_raw_rle_normalized(spark, sf_dir):
+    r = O.runs(_abundances(spark, sf_dir)).join(_counts(spark, sf_dir), "color_id")
+    return r.select("query_idx", "color_id", "first", "last", F.round(O.per_count(F.col("ab"), F.col("kmer_count"), NORMAL), 6).alias("value"))
+
+
+@query("fmt_colored_header", f"{_AB}, m AS (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) SELECT query_idx, string_agg('col:' || color_id || ':' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END, ' ' ORDER BY color_id) AS tags FROM m GROUP BY 1")
+def fmt_colored_header(spark, sf_dir):
+    cells = O.median_cells(_abundances(spark, sf_dir))
+    tag = F.concat(F.lit("col:"), "color_id", F.lit(":"), S.plain_number(F.col("value")))
+    ordered = cells.select("query_idx", "color_id", tag.alias("tag")).groupBy("query_idx").agg(F.array_sort(F.collect_list(F.struct("color_id", "tag"))).alias("t"))
+    return ordered.select("query_idx", F.array_join(F.transform("t", lambda s: s["tag"]), " ").alias("tags"))
+
+
+@query("matrix_pivot", f"{_AB}, m AS (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) SELECT query_idx, 'item' || query_idx AS query, " + ", ".join(f"max(CASE WHEN color_id = {c} THEN v END) AS \"{c}\"" for c in range(5)) + " FROM m GROUP BY query_idx")
+def matrix_pivot(spark, sf_dir):
+    q = looked_up(spark, sf_dir)
+    return O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), q, list(range(5)), "value", F.lit(None).cast("double"))
+
+
+@query("lookup_without_z", f"{_ab(0)} SELECT query_idx, color_id, sum((ab > 0)::INT)::BIGINT AS present, max(ab) AS greatest FROM ab GROUP BY 1, 2")
+def lookup_without_z(spark, sf_dir):
+    return _abundances(spark, sf_dir, PLAIN).groupBy("query_idx", "color_id").agg(F.sum((F.col("ab") > 0).cast("int")).alias("present"), F.max("ab").alias("greatest"))
+
+
+@query("event_runs", "WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN NULL ELSE floor(value / 20)::INT END AS ab FROM events), x AS (SELECT *, CASE WHEN ab IS DISTINCT FROM lag(ab) OVER w OR pos = 0 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM x) SELECT user_id, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, coalesce(any_value(ab), -1) AS ab FROM y GROUP BY user_id, run")
+def event_runs(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    least = e.agg(F.min("event_type").alias("_m"))  # one row
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = e.join(F.broadcast(least)).select("user_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.when(F.col("event_type") == F.col("_m"), None).otherwise(F.floor(F.col("value") / 20).cast("int")).alias("ab"))
+    return O.runs(rows, ("user_id",)).select("user_id", "first", "last", F.coalesce("ab", F.lit(-1)).alias("ab"))
+
+
+@query("changepoints", None)
+def changepoints(spark, sf_dir):
+    return O.changepoint_cells(_abundances(spark, sf_dir), 50.0)
+
+
+@query("fpr_model", "SELECT b, round(n, 1) AS n, round(100 * (1 - exp(-n * 1e9 / pow(2, b))), 2) AS percent FROM (SELECT unnest([26, 28, 30, 32, 34]) AS b), (SELECT unnest([0.1, 0.5, 1.0, 1.5]) AS n)")
+def fpr_model(spark, sf_dir):
+    rows = [(b, n, round(100 * false_positive_rate(int(n * 1e9), b), 2)) for b in (26, 28, 30, 32, 34) for n in (0.1, 0.5, 1.0, 1.5)]
+    return spark.createDataFrame(rows, "b int, n double, percent double")
