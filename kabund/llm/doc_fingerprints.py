@@ -40,7 +40,7 @@ def term_hashes(text: Column, shingle: int = SHINGLE) -> Column:
 def _sums(h: Column, words: int) -> list[Column]:
     out = []
     for w in range(words):
-        own = h if w == 0 else F.xxhash64(h + F.lit(w))
+        own = h if w == 0 else F.when(h.isNotNull(), F.xxhash64(h + F.lit(w)))  # the hash of a null is not null
         for i in range(32):
             out.append(F.sum(F.shiftrightunsigned(own, i).bitwiseAND(F.lit(_PAIR))).alias(f"_s{w}_{i}"))
     return out
