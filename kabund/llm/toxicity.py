@@ -43,6 +43,12 @@ class GruParams:
     vocabulary: int = 60_000  # distinct words kept at a time while scoring
     block: int = 2048  # windows scored at a time
 
+    def __post_init__(self) -> None:
+        if not 0 < self.stride <= self.window:
+            raise ValueError("stride must be from 1 to window")
+        if self.vocabulary < self.block * self.stride + self.window:
+            raise ValueError("the vocabulary must hold the words of a block of windows")
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
