@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from kabund.llm.common import written
 
+#: Characters whose counts tell most pairs of different lines apart before they are paired, and bits for each count.
+COUNTED, BITS = "eniratsodhlu", 2
 #: Edits that make two lines the same, and the code points of the shortest lines that take part.
 EDITS, LEAST = 2, 24
 
@@ -112,7 +114,8 @@ def _cut(at: Column, size: Column) -> Column:
 
 
 def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS) -> DataFrame:
-    """keep and _key: the keys under which lines of this length, or of up to `edits` less, would stand if _wide is within the edits.
+    """keep, _same and _key: the keys under which lines of this length (_same) or of up to `edits` less would stand, if _wide is within
+    the edits.
 
     A segment behind i - 1 others is off by i - 1 at most, and by what the lengths' difference leaves to those behind it
     (multi-match-aware selection).
@@ -129,37 +132,66 @@ def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS
                 keys.append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
     # as columns first: what they have in common is computed once, and the code is split into methods that get compiled
     each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    return each.select(*keep, F.explode_outer(F.array(*[f"_k{i}" for i in range(len(keys))])).alias("_key")).where("_key is not null")
+    of_same = edits * edits // 2 + edits + 1  # the selection's size for lines of one length; they come first
+    out = each.select(*keep, F.posexplode_outer(F.array(*[f"_k{i}" for i in range(len(keys))])).alias("_i", "_key")).where("_key is not null")
+    return out.select(*keep, (F.col("_i") < of_same).alias("_same"), "_key")
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def counts_of(line: Column) -> Column:
+    """Counts of the characters COUNTED, modulo 2^BITS each, in one int of 30 bits at most."""
+    out = F.lit(0)
+    for i, c in enumerate(COUNTED):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit((1 << BITS) - 1)), BITS * i))
+    return out
+
+
+def may_be_within(x: Column, y: Column, edits: int) -> Column:
+    """True if lines with these counts can be within the edits: an edit changes two counts by one at most."""
+    total, mask = F.lit(0), (1 << BITS) - 1
+    for i in range(len(COUNTED)):
+        d = (F.shiftright(x, BITS * i) - F.shiftright(y, BITS * i)).bitwiseAND(F.lit(mask))
+        total = total + F.least(d, F.lit(mask + 1) - d)
+    return total <= 2 * edits
+
+
 def _picked(base: DataFrame, places: DataFrame) -> DataFrame:
-    """(_doc, _at, _line): the lines of base at places (_d, _ats), an array for each document."""
+    """(_doc, _at, _counts, _line): the lines of base at places (_d, _ats), an array of (at, counts) for each document."""
     held = base.join(places.hint("shuffle_hash"), F.col("_doc") == F.col("_d"))  # places are small next to the texts
-    picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_ats"), lambda at: F.struct(at.alias("_at"), F.element_at(ls, at + 1).alias("_line"))))
-    return held.select("_doc", F.explode_outer(F.element_at(picked, 1)).alias("_l")).select("_doc", "_l._at", "_l._line").where("_doc is not null and _at is not null")
+    picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_ats"), lambda x: F.struct(x["at"].alias("_at"), x["counts"].alias("_counts"), F.element_at(ls, x["at"] + 1).alias("_line"))))
+    return held.select("_doc", F.explode_outer(F.element_at(picked, 1)).alias("_l")).select("_doc", "_l._at", "_l._counts", "_l._line").where("_doc is not null and _at is not null")
 
 
 def removed_lines(base: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(_gone_doc, _gone_ats): of each _doc, the places (from 0) of its lines that go. base: _doc and _text, not null."""
     lines = base.select("_doc", F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") >= least)
-    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"))
+    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"))
     # the first place of each distinct line
-    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n")), "lines")
-    by_doc = firsts.select(F.col("_first._doc").alias("_d"), F.col("_first._at").alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
+    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c")), "lines")
+    by_doc = firsts.select(F.col("_first._doc").alias("_d"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
     distinct = _picked(base, by_doc)
-    wide = distinct.select("_doc", "_at", F.encode("_line", "UTF-32").alias("_wide"))
-    entries = index_rows(wide, ["_doc", "_at"], edits)
-    probes = probe_rows(wide, ["_doc", "_at"], least, edits).select(F.col("_doc").alias("_pdoc"), F.col("_at").alias("_pat"), "_key")
-    met = entries.join(probes, "_key").where("_doc <> _pdoc or _at <> _pat").select("_doc", "_at", "_pdoc", "_pat").distinct() if edits else None
+    # what rides along with a key in two longs: the document; the place, the counts and, above them, whether lengths are the same
+    wide = distinct.select("_doc", F.shiftleft(F.col("_at").cast("long"), 30).bitwiseOR(F.col("_counts").cast("long")).alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
+    at, counts = (lambda m: F.shiftright(F.col(m), 30).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")), (lambda m: F.col(m).bitwiseAND(F.lit((1 << 30) - 1)).cast("int"))
+    entries = index_rows(wide, ["_doc", "_m"], edits)
+    probes = probe_rows(wide, ["_doc", "_m"], least, edits)
+    probes = probes.select(F.col("_doc").alias("_pdoc"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("_m")).alias("_pm"), "_key")
+    # lines of one length look for each other both ways: one way is enough
+    before = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (at("_m") < at("_pm")))
+    other = F.when(F.col("_pm") >= F.lit(1 << 62), before).otherwise((F.col("_doc") != F.col("_pdoc")) | (at("_m") != at("_pm")))
+    paired = entries.join(probes, "_key").where(other & may_be_within(counts("_m"), counts("_pm"), edits))
+    met = paired.select("_doc", at("_m").alias("_at"), "_pdoc", at("_pm").alias("_pat"))
+    # said once more, so that the three uses below stay one plan, which is run once
+    met = met.where("_doc is not null and _at is not null and _pdoc is not null and _pat is not null").distinct() if edits else None
     # occurrences of a line behind its first one
     repeated = firsts.where("_n > 1").select("_h", "_g", F.col("_first._doc").alias("_fd"), F.col("_first._at").alias("_fa"))
     gone = hashed.join(repeated, ["_h", "_g"]).where("_doc <> _fd or _at <> _fa").select(F.col("_doc").alias("d"), F.col("_at").alias("a"))
     if met is not None:
-        ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set("_at").alias("_ats"))
+        ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.lit(0).alias("counts"))).alias("_ats"))
         texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
         one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
         both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
