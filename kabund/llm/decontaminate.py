@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchPa
     out = None
     for block in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        given = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.toLocalIterator()])
+        given = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])
 
         def of(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
             matcher = Matcher(given.value, p.rate)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kabund.llm.common import fold_of, text_of
+from kabund.llm.common import fold_of, text_of, written
 
 #: Bytes whose n-grams are handled at a time.
 CHUNK = 1 << 19
@@ -27,16 +27,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, folds
     ids = ids.groupBy("_id").agg(F.max("_y").alias("_y"))
     if labels is not None:  # labels of documents that are not there would use up the bound
         ids = ids.join(docs.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_semi")
-    lowest = ids.groupBy("_y").agg(F.count("*").alias("n")).where("_y is not null")
+    ids = written(ids, "labelled")
+    classes = ids.select("_y").distinct().collect()
     chosen = None
-    for row in sorted(lowest.collect(), key=lambda r: str(r["_y"])):
+    for row in sorted(classes, key=lambda r: str(r["_y"])):
         own_class = ids.where(F.col("_y") == F.lit(row["_y"])).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = own_class if chosen is None else chosen.union(own_class)
     if chosen is None:
         return []
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t"))
     got = F.broadcast(chosen).join(texts, "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t"))
-    return sorted((r["_id"], r["_t"], r["_y"]) for r in got.toLocalIterator())
+    return sorted((r["_id"], r["_t"], r["_y"]) for r in got.collect())
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -79,7 +79,11 @@ def _values(row: np.ndarray, ratio: np.ndarray, p: NbSvmParams) -> np.ndarray:
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: NbSvmParams) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; the bias is a feature of its own. Classes weigh the same in sum."""
     w, bias = np.zeros(len(ratio)), 0.0
-    values = [_values(r, ratio, p) for r in rows]
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.empty(int(ends[-1]), dtype=np.float32)  # one array, which goes back to the system as a whole
+    values = [flat[e - len(r) : e] for r, e in zip(rows, ends.tolist(), strict=True)]
+    for r, v in zip(rows, values, strict=True):
+        v[:] = _values(r, ratio, p)
     norms = np.array([float(v @ v) + 1.0 for v in values])
     share = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (-1.0, 1.0)}
     upper = np.array([p.cost * share[s] for s in y])
@@ -109,7 +113,10 @@ def fit(sample: list[tuple[int, str, object]], p: NbSvmParams = NbSvmParams()) -
     distinct, rows = Distinct(p.bits), []
     for _, text, _ in sample:
         data = text.encode("utf-8", "surrogatepass")
-        rows.append(np.concatenate([np.array(repeat_slots(data, p.bits), dtype=np.int64), *distinct.of(gram_slots(data, p.orders, p.bits))]).astype(np.int64))
+        rows.append(np.concatenate([np.array(repeat_slots(data, p.bits), dtype=np.int32), *(x.astype(np.int32) for x in distinct.of(gram_slots(data, p.orders, p.bits)))]))
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.concatenate(rows)
+    rows = [flat[e - len(r) : e] for r, e in zip(rows, ends.tolist(), strict=True)]
 
     def ratios(of: np.ndarray) -> np.ndarray:
         counts = {s: np.full(size, p.smoothing) for s in (-1.0, 1.0)}

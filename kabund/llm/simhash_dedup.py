@@ -270,15 +270,13 @@ def simhash_components(docs: DataFrame, p: SimHashParams = EXACT_2, id_col: str
 def keep_one(docs: DataFrame, p: SimHashParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one whose id names it. All columns of docs stay.
 
-    Of rows that repeat one doc_id, the first by text stays. Documents without any word are no copies of each other
-    and stay; a null doc_id stays.
+    Of rows with words that repeat one doc_id, the first by text stays. Documents without any word are no copies of each other
+    and stay, each row of them; a null doc_id stays.
     """
     with_words = docs.where(text_of(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
     found = simhash_components(with_words, p, id_col, text_col)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(dropped, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 and __id is not null").select("__id")
-    same = F.col(id_col) == F.col("__id")
-    once = kept.join(repeated, same, "left_anti")
-    first = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), text_of(text_col)).alias("__row"))
-    return once.unionByName(first.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    decided = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
+    kept = docs.join(decided, F.col(id_col).cast("long") == F.col("__id"), "left").where("__c is null or __c = __id")
+    once = kept.where("__n is null or __n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    many = kept.where("__n > 1").groupBy("__id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_of(text_col)).alias("__row"))
+    return once.unionByName(many.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
