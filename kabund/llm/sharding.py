@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -40,11 +41,20 @@ class ShardParams:
 
 @dataclass(frozen=True)
 class Shard:
-    name: str  # version and number
+    name: str  # version, and numbers within it
     path: str
     bytes: int
 
 
+#: Folder's version and first number, and a file's number, in the path of a shard.
+_NAME = r"/(v\d+_\d+)-[^/]*/part-(\d+)[^/]*$"
+
+
+def shard_name(path: str) -> str:
+    version, number = re.search(_NAME, path).groups()
+    return f"{version}/{number}"
+
+
 class VersionExists(RuntimeError):
     """Another writer has committed this version."""
 
@@ -121,10 +131,10 @@ class ShardStore:
 
     # data
     def _write(self, df: DataFrame, version: int, after: int = 0) -> list[Shard]:
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        folder = f"{self.root}/data/v{version:06d}_{after}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
         files = sorted(((s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in self._listed(folder) if s.getPath().getName().endswith(".parquet")))
-        return [Shard(f"{version}-{after + i}", path, size) for i, (_, path, size) in enumerate(files)]
+        return [Shard(shard_name(path), path, size) for _, path, size in files]
 
     def append(self, arrival: DataFrame) -> int:
         """Add an arrival, and return the new version. An empty one makes a version with the same shards."""
@@ -183,9 +193,8 @@ class ShardStore:
             return df
         if with_shard in df.columns:
             raise ValueError(f"the store has a column {with_shard}")
-        names = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], s.name) for s in shards], f"_file string, `{with_shard}` string")
-        rows = df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("_at"))
-        return rows.join(names, F.col("_at") == F.col("_file"), "left").select(*df.columns, with_shard)
+        at = F.col("_metadata.file_path")  # the name is in the path: no join
+        return df.select("*", F.concat(F.regexp_extract(at, _NAME, 1), F.lit("/"), F.regexp_extract(at, _NAME, 2)).alias(with_shard))
 
 
 def shard_documents(docs: DataFrame, arrivals: int = 5, p: ShardParams = ShardParams(), root: str | None = None, id_col: str = "doc_id") -> DataFrame:
