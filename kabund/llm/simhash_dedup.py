@@ -11,10 +11,14 @@ Shards are split into sub-shards of a bounded number of fingerprints. Each sub-s
 fingerprints of the shard are sent to it as searches: trees have a bounded size, whatever one shard's share of all rows is.
 Trees are not sent to all tasks, as all trees together grow with the corpus; the searches are sent to the trees instead.
 A task reports a spanning forest of what it found, not all pairs.
+
+Near copies by a Jaccard likeness (near_components, keep_one) are another matter: at 0.8, 15 % of the bits differ, and neither a
+radius nor tables tell 0.8 from 0.75 or miss nothing. There MinHash bands find candidates and the shingle sets decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,9 +67,23 @@ def sampled_tables(bits: int, width: int, tables: int, seed: int = 1) -> tuple[t
 
 #: Contract of op1: 3-word shingles, 64 bits, 2 differing bits, exact.
 EXACT_2 = SimHashParams(shingle=3, words=1, radius=2, tables=pigeonhole_tables(64, 2))
-#: Near copies: 5-word shingles and a Jaccard likeness of 0.8 or more. At 0.8 the shingle sets' cosine is 0.889 and 15.1 % of
-#: the bits differ, 38.6 of 256 on average with a deviation of 5.7; 44 keeps most pairs at 0.8 and nearly all at 0.85.
-NEAR_08 = SimHashParams(shingle=5, words=4, radius=44, tables=sampled_tables(256, 16, 40))
+@dataclass(frozen=True)
+class NearParams:
+    """shingle: words of a shingle. like: least Jaccard likeness of a link, as (numerator, denominator). bands, rows: MinHash keys of
+    a document, and the minima in each; a pair at likeness j shares a key with a chance of 1 - (1 - j^rows)^bands."""
+
+    shingle: int = 5
+    like: tuple[int, int] = (4, 5)
+    bands: int = 20
+    rows: int = 4
+
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or self.bands < 1 or self.rows < 1 or not 0 < self.like[0] <= self.like[1]:
+            raise ValueError("shingle, bands and rows must be positive, and like in (0, 1]")
+
+
+#: Near copies: a Jaccard likeness of 0.8 or more of the sets of 5-word shingles. At 0.8 one pair in some 38,000 has no key in common.
+NEAR_08 = NearParams()
 
 
 def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
@@ -267,14 +285,97 @@ def simhash_components(docs: DataFrame, p: SimHashParams = EXACT_2, id_col: str
     return fps.join(named, F.col("fingerprint") == F.col("fp"), "left").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, p: SimHashParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.array([], dtype=np.uint64)
+
+
+def _set_digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def band_keys(h: np.ndarray, p: NearParams) -> list[int]:
+    """A key for each band: a hash of the band's number and of its minima over the set, which must not be empty."""
+    draw = np.random.Generator(np.random.PCG64(8))
+    a, x = draw.integers(0, 1 << 64, size=(2, p.bands * p.rows, 1), dtype=np.uint64)
+    least = np.full(p.bands * p.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 1 << 11):
+            z = (h[None, at : at + (1 << 11)] ^ x) * (a | np.uint64(1))
+            np.minimum(least, z.min(axis=1), out=least)
+    minima = least.astype("<u8").reshape(p.bands, p.rows)
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(minima)]
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """The pairs (u, v) whose sets are at least as alike as p.like; sets: node and set."""
+    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("_a")), "u")
+    both = one.join(sets.select(F.col("node").alias("v"), F.col("set").alias("_b")), "v")
+    num, den = p.like
+    na, nb = F.size("_a"), F.size("_b")
+    sized = both.where((F.least(na, nb) * den >= F.greatest(na, nb) * num))
+    shared = F.size(F.array_intersect("_a", "_b"))  # i / (na + nb - i) >= num / den
+    return sized.where(shared * (num + den) >= (na + nb) * num).select("u", "v")
+
+
+def near_components(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id), one row for each row of docs, whose ids are not null and whose texts have words.
+
+    Rows with one shingle set are one node. Nodes that share a band key are candidates, and a link is kept only where the sets
+    themselves are alike enough. Of each key's nodes, all are first checked against the lowest one; what that has not brought
+    together is then checked pair by pair. So a large group of copies costs about one check a node, and no candidate is left out.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, p.shingle) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [band_keys(h, p) for h in sets]})
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, p.shingle) for t in b["text"]]
+            yield pd.DataFrame({"digest": [_set_digest(h) for h in sets], "set": [h.view(np.int64) for h in sets]})
+
+    signed = written(rows.mapInPandas(sign, "doc_id long, digest binary, n int, keys array<long>"), "signatures")
+    # numbered where they are written, so that a node keeps its number
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    lowest = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1").select("key", "low")
+    met = written(keyed.join(lowest, "key"), "met")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest")
+    texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInPandas(take, "digest binary, set array<long>")
+    # a doc_id can have several texts, and a text several rows
+    sets = written(sets.join(wanted.select("node", "digest"), "digest").select("node", "set").dropDuplicates(["node"]), "sets")
+
+    first = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    linked = written(_checked(first, sets, p), "links")
+    found = connected_components(linked).select("node", "component")
+    labelled = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    open_ = written(labelled.join(mixed, "key", "left_semi"), "open")
+    x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}")) for i in (0, 1))
+    alike = F.least("s0", "s1") * p.like[1] >= F.greatest("s0", "s1") * p.like[0]
+    cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
+    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    named = connected_components(linked.union(_checked(cross, sets, p)))
+    of_node = nodes.join(named, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("c"))
+    ids = of_node.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return signed.select("doc_id", "digest").join(of_node.join(ids, "c").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one whose id names it. All columns of docs stay.
 
     Of rows with words that repeat one doc_id, the first by text stays. Documents without any word are no copies of each other
     and stay, each row of them; a null doc_id stays.
     """
     with_words = docs.where(text_of(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = simhash_components(with_words, p, id_col, text_col)
+    found = near_components(with_words, p, id_col, text_col)
     decided = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
     kept = docs.join(decided, F.col(id_col).cast("long") == F.col("__id"), "left").where("__c is null or __c = __id")
     once = kept.where("__n is null or __n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

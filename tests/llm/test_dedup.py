@@ -115,6 +115,39 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(40)) | set(range(1000, 1020))
 
 
+def test_near_copies_are_those_of_all_pairs(spark):
+    """Pairs right at and right below the likeness of 0.8, of several lengths."""
+    rng = random.Random(7)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    texts = []
+    for k in range(240):
+        n = rng.choice([12, 40, 120, 400])
+        a = [f"w{k}x{i}" for i in range(n)]
+        b = list(a)
+        least = rng.choice([0.8, 0.8, 0.66])
+        while True:  # words change until one more would bring the likeness under `least`
+            c = list(b)
+            c[rng.randrange(n)] = f"v{k}y{rng.random()}"
+            x, y = shingles(a), shingles(c)
+            if len(x & y) < least * len(x | y):
+                break
+            b = c
+        texts += [a, b]
+    # a chain whose ends are unlike, and texts with one set of shingles in another order and number
+    chain = [f"c{i}" for i in range(100)]
+    texts += [chain[i : i + 60] for i in range(0, 30, 4)]
+    texts += [["r", "s", "t"] * 30, ["s", "t", "r"] * 40]
+    sets = [shingles(t) for t in texts]
+    low = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(max(0, i - 10), i):  # only neighbours have a shingle in common
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((low[i], low[j]))
+                low = [a if c == b else c for c in low]
+    kept = {r["doc_id"] for r in SD.keep_one(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert kept == set(low) and 100 < len(texts) - len(kept) < 220
+
+
 def next_of(rows):
     """By descending id (null last), texts of one id by descending order."""
     key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode())
