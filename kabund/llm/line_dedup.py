@@ -1,7 +1,9 @@
 """Line dedup: a segment-partition edit join over lines, with DataFrame functions only.
 
 A line goes if an earlier line is within `edits` edits of it; what is earlier is told by (doc_id, place in the text).
-Lines of at least `least` code points take part, others stay as they are.
+All lines but empty ones take part. A pair may differ by one edit for each 12 code points of its shorter line, up to `edits`, so that
+lines under 12 go only if they are exact repeats. Where `least` is given, lines of at least so many code points take part, with
+`edits` for all of them, and others stay as they are.
 
 Two lines within t edits share one of t + 1 segments of the shorter one exactly (Li et al., Pass-Join, 2011). A line puts
 its segments into an index under their length, number and content; a line that looks for others takes from its own text just
@@ -21,8 +23,8 @@ from kabund.llm.common import written
 
 #: Characters whose counts tell most pairs of different lines apart before they are paired, and bits for each count.
 COUNTED, BITS = "eniratsodhlu", 2
-#: Edits that make two lines the same, and the code points of the shortest lines that take part.
-EDITS, LEAST = 2, 24
+#: Edits that make two lines the same, the code points of the shortest lines that may differ by so many, and code points an edit.
+EDITS, LEAST, EACH = 2, 24, 12
 
 
 def _let(value: Column, use) -> Column:
@@ -113,9 +115,9 @@ def _cut(at: Column, size: Column) -> Column:
     return F.substring("_wide", F.shiftleft(at, 2) - 3, F.shiftleft(size, 2))
 
 
-def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS) -> DataFrame:
+def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS, most: int | None = None) -> DataFrame:
     """keep, _same and _key: the keys under which lines of this length (_same) or of up to `edits` less would stand, if _wide is within
-    the edits.
+    the edits. Lines of under `least` and over `most` code points are not looked for.
 
     A segment behind i - 1 others is off by i - 1 at most, and by what the lengths' difference leaves to those behind it
     (multi-match-aware selection).
@@ -128,7 +130,7 @@ def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS
             start, size = _segment(n, i, edits + 1)
             for off in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
                 at = start + F.lit(off)
-                fits = (n >= least) & (at >= 1) & (at + size - 1 <= whole)
+                fits = (n >= least if most is None else n.between(least, most)) & (at >= 1) & (at + size - 1 <= whole)
                 keys.append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
     # as columns first: what they have in common is computed once, and the code is split into methods that get compiled
     each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
@@ -166,19 +168,24 @@ def _picked(base: DataFrame, places: DataFrame) -> DataFrame:
     return held.select("_doc", F.explode_outer(F.element_at(picked, 1)).alias("_l")).select("_doc", "_l._at", "_l._counts", "_l._line").where("_doc is not null and _at is not null")
 
 
-def removed_lines(base: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(_gone_doc, _gone_ats): of each _doc, the places (from 0) of its lines that go. base: _doc and _text, not null."""
-    lines = base.select("_doc", F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") >= least)
-    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"))
-    # the first place of each distinct line
-    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c")), "lines")
-    by_doc = firsts.select(F.col("_first._doc").alias("_d"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
+def _budgets(edits: int, least: int | None) -> list[tuple[int, int, int | None]]:
+    """(edits, least, most): what pairs may differ by, and the code points of their shorter lines."""
+    if least is not None:
+        return [(edits, least, None)] if edits else []
+    return [(e, EACH * e, None if e == edits else EACH * (e + 1) - 1) for e in range(1, edits + 1)]
+
+
+def _near(base: DataFrame, firsts: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
+    """(d, a): the places of distinct lines within the edits of an earlier one, the shorter of both of least to most code points."""
+    part = firsts if most is None else firsts.where(F.col("_n_points") <= most + edits)
+    part = part.where(F.col("_n_points") >= least)
+    by_doc = part.select(F.col("_first._doc").alias("_d"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
     distinct = _picked(base, by_doc)
     # what rides along with a key in two longs: the document; the place, the counts and, above them, whether lengths are the same
     wide = distinct.select("_doc", F.shiftleft(F.col("_at").cast("long"), 30).bitwiseOR(F.col("_counts").cast("long")).alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
     at, counts = (lambda m: F.shiftright(F.col(m), 30).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")), (lambda m: F.col(m).bitwiseAND(F.lit((1 << 30) - 1)).cast("int"))
-    entries = index_rows(wide, ["_doc", "_m"], edits)
-    probes = probe_rows(wide, ["_doc", "_m"], least, edits)
+    entries = index_rows(wide if most is None else wide.where(_points(F.col("_wide")) <= most), ["_doc", "_m"], edits)
+    probes = probe_rows(wide, ["_doc", "_m"], least, edits, most)
     probes = probes.select(F.col("_doc").alias("_pdoc"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("_m")).alias("_pm"), "_key")
     # lines of one length look for each other both ways: one way is enough
     before = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (at("_m") < at("_pm")))
@@ -186,29 +193,37 @@ def removed_lines(base: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     paired = entries.join(probes, "_key").where(other & may_be_within(counts("_m"), counts("_pm"), edits))
     met = paired.select("_doc", at("_m").alias("_at"), "_pdoc", at("_pm").alias("_pat"))
     # said once more, so that the three uses below stay one plan, which is run once
-    met = met.where("_doc is not null and _at is not null and _pdoc is not null and _pat is not null").distinct() if edits else None
+    met = met.where("_doc is not null and _at is not null and _pdoc is not null and _pat is not null").distinct()
+    ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.lit(0).alias("counts"))).alias("_ats"))
+    texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
+    one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
+    both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
+    near = both.where(within_edits(F.col("_a"), F.col("_b"), edits))
+    earlier = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat")))
+    later = F.when(earlier, F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
+    return near.select(later.alias("_later")).select("_later.d", "_later.a")
+
+
+def removed_lines(base: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
+    """(_gone_doc, _gone_ats): of each _doc, the places (from 0) of its lines that go. base: _doc and _text, not null."""
+    lines = base.select("_doc", F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") >= (1 if least is None else least))
+    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"), F.length("_line").alias("_n_points"))
+    # the first place of each distinct line
+    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c"), F.min("_n_points").alias("_n_points")), "lines")
     # occurrences of a line behind its first one
     repeated = firsts.where("_n > 1").select("_h", "_g", F.col("_first._doc").alias("_fd"), F.col("_first._at").alias("_fa"))
     gone = hashed.join(repeated, ["_h", "_g"]).where("_doc <> _fd or _at <> _fa").select(F.col("_doc").alias("d"), F.col("_at").alias("a"))
-    if met is not None:
-        ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.lit(0).alias("counts"))).alias("_ats"))
-        texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
-        one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
-        both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
-        near = both.where(within_edits(F.col("_a"), F.col("_b"), edits))
-        earlier = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat")))
-        later = F.when(earlier, F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
-        # a line that goes, goes everywhere: its other occurrences are later still
-        gone = gone.union(near.select(later.alias("_later")).select("_later.d", "_later.a"))
+    for budget in _budgets(edits, least):  # a line that goes, goes everywhere: its other occurrences are later still
+        gone = gone.union(_near(base, firsts, *budget))
     return gone.groupBy(F.col("d").alias("_gone_doc")).agg(F.collect_set("a").alias("_gone_ats"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the lines that repeat an earlier one taken out of text_col, and _lines, _gone: lines of a text, and how many went.
 
     All columns and rows of docs stay. A null text stays null; an empty text has one empty line, which stays. Of a line that
     occurs at the same place of several rows with one doc_id, all stay. Documents whose id is null are left as they are,
-    as they have no place in the order. length_col gets the new number of code points. An empty table gives an empty one.
+    as they have no place in the order. Of pairs, one line goes if they are within the edits that their length allows, see above. length_col gets the new number of code points. An empty table gives an empty one.
     """
     known = F.col(id_col).cast("long").isNotNull() & F.col(text_col).isNotNull()
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -54,9 +54,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 24 code points or more, as its SQL has it; op8_line_dedup_all takes them all."""
+    from kabund.llm.line_dedup import LEAST
+
+    return _deduped(spark, sf_dir, LEAST)
+
+
+def op8_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deduped(spark, sf_dir, None)
+
+
+def _deduped(spark: SparkSession, sf_dir: str, least: int | None) -> DataFrame:
     from kabund.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=least)
     kept = (F.col("_lines") - F.col("_gone")).cast("long")
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), kept.alias("n_kept"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
@@ -82,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_all": op8_line_dedup_all,
     "op9_langid": op9_langid,
     "op10_doc_fingerprints": op10_doc_fingerprints,
 }

@@ -265,6 +265,23 @@ def test_line_dedup_is_that_of_all_pairs(spark, edits):
         assert got[i]["_gone"] == len(gone[i]) and got[i]["_lines"] == t.count("\n") + 1
 
 
+def test_short_lines_take_part_in_line_dedup(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in [1, 2, 5, 10, 11, 12, 12, 13, 13, 22, 23, 23, 24, 24, 25, 25, 26, 40] * 3]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3), "ab é") if rng.random() < 0.9 else "" for _ in range(rng.randint(0, 7)))) for i in rng.sample(range(1000), 120)]
+    got = {r["doc_id"]: r["text"] for r in LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, gone = {}, set()
+    for i, t in sorted(rows):
+        for at, line in enumerate(t.split("\n")):
+            if line:
+                if line in seen or any(distance(line, x) <= min(2, len(x) // 12, len(line) // 12) for x in seen if abs(len(x) - len(line)) <= 2):
+                    gone.add((i, at))
+                seen.setdefault(line, i)
+    assert sum(len(t.split("\n")[at]) < 24 for i, t in rows for at in range(t.count("\n") + 1) if (i, at) in gone) > 50
+    for i, t in rows:
+        assert got[i] == "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone)
+
+
 def test_line_dedup_of_odd_rows(spark, odd, clashing, none):
     got = LD.dedup_lines(clashing, length_col="n_chars")
     assert got.columns == [*clashing.columns, "_lines", "_gone"] and got.count() == odd.count()
