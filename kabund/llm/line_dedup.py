@@ -99,11 +99,16 @@ def _segment(n: Column, i: int, segments: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) > first_long, 1).otherwise(0)
 
 
-def index_rows(lines: DataFrame, keep: list[str], edits: int = EDITS) -> DataFrame:
-    """keep and _key: hashes of (length, number, content) of the segments of _wide, the line as four bytes a code point."""
+def index_rows(lines: DataFrame, keep: list[str], budgets: list[tuple[int, int, int | None]]) -> DataFrame:
+    """keep and _key: hashes of (length, number, content) of the segments of _wide, the line as four bytes a code point. A line's
+    length tells which budget (edits, least, most), and so how many segments, it has."""
     n = _points(F.col("_wide"))
-    keys = [F.xxhash64(n, F.lit(i), _cut(*_segment(n, i, edits + 1))) for i in range(1, edits + 2)]
-    return lines.select(*keep, F.explode_outer(F.array(*keys)).alias("_key"))
+    keys = [F.when(_within(n, least, most), F.xxhash64(n, F.lit(i), _cut(*_segment(n, i, edits + 1)))) for edits, least, most in budgets for i in range(1, edits + 2)]
+    return lines.select(*keep, F.explode_outer(F.array(*keys)).alias("_key")).where("_key is not null")
+
+
+def _within(n: Column, least: int, most: int | None) -> Column:
+    return n >= least if most is None else n.between(least, most)
 
 
 def _points(wide: Column) -> Column:
@@ -115,28 +120,28 @@ def _cut(at: Column, size: Column) -> Column:
     return F.substring("_wide", F.shiftleft(at, 2) - 3, F.shiftleft(size, 2))
 
 
-def probe_rows(lines: DataFrame, keep: list[str], least: int, edits: int = EDITS, most: int | None = None) -> DataFrame:
+def probe_rows(lines: DataFrame, keep: list[str], budgets: list[tuple[int, int, int | None]]) -> DataFrame:
     """keep, _same and _key: the keys under which lines of this length (_same) or of up to `edits` less would stand, if _wide is within
-    the edits. Lines of under `least` and over `most` code points are not looked for.
+    the edits.
 
     A segment behind i - 1 others is off by i - 1 at most, and by what the lengths' difference leaves to those behind it
     (multi-match-aware selection).
     """
-    keys = []
+    keys: tuple[list[Column], list[Column]] = ([], [])  # for lines of one length, and for shorter ones
     whole = _points(F.col("_wide"))
-    for d in range(edits + 1):
-        n = whole - F.lit(d)
-        for i in range(1, edits + 2):
-            start, size = _segment(n, i, edits + 1)
-            for off in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
-                at = start + F.lit(off)
-                fits = (n >= least if most is None else n.between(least, most)) & (at >= 1) & (at + size - 1 <= whole)
-                keys.append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
+    for edits, least, most in budgets:
+        for d in range(edits + 1):
+            n = whole - F.lit(d)
+            for i in range(1, edits + 2):
+                start, size = _segment(n, i, edits + 1)
+                for off in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
+                    at = start + F.lit(off)
+                    fits = _within(n, least, most) & (at >= 1) & (at + size - 1 <= whole)
+                    keys[d > 0].append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
     # as columns first: what they have in common is computed once, and the code is split into methods that get compiled
-    each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    of_same = edits * edits // 2 + edits + 1  # the selection's size for lines of one length; they come first
-    out = each.select(*keep, F.posexplode_outer(F.array(*[f"_k{i}" for i in range(len(keys))])).alias("_i", "_key")).where("_key is not null")
-    return out.select(*keep, (F.col("_i") < of_same).alias("_same"), "_key")
+    each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys[0] + keys[1])])
+    out = each.select(*keep, F.posexplode_outer(F.array(*[f"_k{i}" for i in range(len(keys[0]) + len(keys[1]))])).alias("_i", "_key")).where("_key is not null")
+    return out.select(*keep, (F.col("_i") < len(keys[0])).alias("_same"), "_key")
 
 
 def _lines(text: Column) -> Column:
@@ -175,22 +180,28 @@ def _budgets(edits: int, least: int | None) -> list[tuple[int, int, int | None]]
     return [(e, EACH * e, None if e == edits else EACH * (e + 1) - 1) for e in range(1, edits + 1)]
 
 
-def _near(base: DataFrame, firsts: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
-    """(d, a): the places of distinct lines within the edits of an earlier one, the shorter of both of least to most code points."""
-    part = firsts if most is None else firsts.where(F.col("_n_points") <= most + edits)
-    part = part.where(F.col("_n_points") >= least)
+def _close(a: Column, b: Column, budgets: list[tuple[int, int, int | None]]) -> Column:
+    """Whether b, at least as long as a, is within the edits that a's length allows."""
+    out = within_edits(a, b, budgets[-1][0])
+    for edits, _, most in reversed(budgets[:-1]):
+        out = F.when(F.length(a) <= most, within_edits(a, b, edits)).otherwise(out)
+    return out
+
+
+def _near(base: DataFrame, firsts: DataFrame, budgets: list[tuple[int, int, int | None]]) -> DataFrame:
+    """(d, a): the places of distinct lines within the edits of an earlier one that the shorter of both allows."""
+    part = firsts.where(F.col("_n_points") >= budgets[0][1])
     by_doc = part.select(F.col("_first._doc").alias("_d"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
     distinct = _picked(base, by_doc)
     # what rides along with a key in two longs: the document; the place, the counts and, above them, whether lengths are the same
     wide = distinct.select("_doc", F.shiftleft(F.col("_at").cast("long"), 30).bitwiseOR(F.col("_counts").cast("long")).alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
     at, counts = (lambda m: F.shiftright(F.col(m), 30).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")), (lambda m: F.col(m).bitwiseAND(F.lit((1 << 30) - 1)).cast("int"))
-    entries = index_rows(wide if most is None else wide.where(_points(F.col("_wide")) <= most), ["_doc", "_m"], edits)
-    probes = probe_rows(wide, ["_doc", "_m"], least, edits, most)
+    entries, probes = index_rows(wide, ["_doc", "_m"], budgets), probe_rows(wide, ["_doc", "_m"], budgets)
     probes = probes.select(F.col("_doc").alias("_pdoc"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("_m")).alias("_pm"), "_key")
     # lines of one length look for each other both ways: one way is enough
     before = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (at("_m") < at("_pm")))
     other = F.when(F.col("_pm") >= F.lit(1 << 62), before).otherwise((F.col("_doc") != F.col("_pdoc")) | (at("_m") != at("_pm")))
-    paired = entries.join(probes, "_key").where(other & may_be_within(counts("_m"), counts("_pm"), edits))
+    paired = entries.join(probes, "_key").where(other & may_be_within(counts("_m"), counts("_pm"), budgets[-1][0]))
     met = paired.select("_doc", at("_m").alias("_at"), "_pdoc", at("_pm").alias("_pat"))
     # said once more, so that the three uses below stay one plan, which is run once
     met = met.where("_doc is not null and _at is not null and _pdoc is not null and _pat is not null").distinct()
@@ -198,7 +209,7 @@ def _near(base: DataFrame, firsts: DataFrame, edits: int, least: int, most: int
     texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
     one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
     both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
-    near = both.where(within_edits(F.col("_a"), F.col("_b"), edits))
+    near = both.where(_close(F.col("_a"), F.col("_b"), budgets))
     earlier = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat")))
     later = F.when(earlier, F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
     return near.select(later.alias("_later")).select("_later.d", "_later.a")
@@ -213,8 +224,8 @@ def removed_lines(base: DataFrame, edits: int = EDITS, least: int | None = None)
     # occurrences of a line behind its first one
     repeated = firsts.where("_n > 1").select("_h", "_g", F.col("_first._doc").alias("_fd"), F.col("_first._at").alias("_fa"))
     gone = hashed.join(repeated, ["_h", "_g"]).where("_doc <> _fd or _at <> _fa").select(F.col("_doc").alias("d"), F.col("_at").alias("a"))
-    for budget in _budgets(edits, least):  # a line that goes, goes everywhere: its other occurrences are later still
-        gone = gone.union(_near(base, firsts, *budget))
+    if budgets := _budgets(edits, least):  # a line that goes, goes everywhere: its other occurrences are later still
+        gone = gone.union(_near(base, firsts, budgets))
     return gone.groupBy(F.col("d").alias("_gone_doc")).agg(F.collect_set("a").alias("_gone_ats"))
 
 
