@@ -428,6 +428,13 @@ def matrix_pivot(spark, sf_dir):
     return O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), q, list(range(5)), "value", F.lit(None).cast("double"))
 
 
+@query("matrix_pivot_all", None)
+def matrix_pivot_all(spark, sf_dir):
+    """As matrix_pivot, with a column for each dataset; SQL can't name them."""
+    ids = sorted(r["color_id"] for r in colors(spark, sf_dir).select("color_id").collect())
+    return O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), looked_up(spark, sf_dir), ids, "value", F.lit(None).cast("double"))
+
+
 @query("lookup_without_z", f"{_ab(0)} SELECT query_idx, color_id, sum((ab > 0)::INT)::BIGINT AS present, max(ab) AS greatest FROM ab GROUP BY 1, 2")
 def lookup_without_z(spark, sf_dir):
     return _abundances(spark, sf_dir, PLAIN).groupBy("query_idx", "color_id").agg(F.sum((F.col("ab") > 0).cast("int")).alias("present"), F.max("ab").alias("greatest"))
