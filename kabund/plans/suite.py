@@ -266,6 +266,55 @@ def bloom_slot_address(spark, sf_dir):
     return x.select("query_idx", F.col("pos").cast("long").alias("pos"), slot.alias("slot"), S.bit_address(slot, F.col("query_idx") % 20, F.col("pos") % 255, 20, 255).alias("address"))
 
 
+# the same of the indexed records, in digests of each document
+_DOC_MINI = _MINI.replace(_Q, _U).replace("query_idx", "doc_id").replace("FROM q ", "FROM u ")
+_DOC_HASHED = _HASHED.replace(_Q, _U).replace("query_idx", "doc_id").replace("FROM q ", "FROM u ")
+
+
+def _document_minimizers(spark, sf_dir):
+    return S.explode_minimizers(documents(spark, sf_dir).select("doc_id", "seq"), K, M)
+
+
+def _document_hashed(spark, sf_dir):
+    return S.explode_smers(documents(spark, sf_dir).select("doc_id", "seq"), K).withColumn("h", S.md5_hash(F.col("smer")))
+
+
+@query("document_minimizer_assign", f"{_DOC_MINI} SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS places, min(smer) AS least, max(smer) AS greatest, min(mini) AS least_mini, max(mini) AS greatest_mini, sum(mini % 1000003)::BIGINT AS minis FROM mi GROUP BY doc_id")
+def document_minimizer_assign(spark, sf_dir):
+    m = _document_minimizers(spark, sf_dir).groupBy("doc_id")
+    return m.agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("places"), F.min("smer").alias("least"), F.max("smer").alias("greatest"), F.min("mini").alias("least_mini"), F.max("mini").alias("greatest_mini"), F.sum(F.col("mini") % 1000003).alias("minis"))
+
+
+@query("document_partition_histogram", f"{_DOC_MINI} SELECT (mini % 510)::INT AS part, count(*) AS n FROM mi GROUP BY 1")
+def document_partition_histogram(spark, sf_dir):
+    return _document_minimizers(spark, sf_dir).groupBy(F.pmod("mini", F.lit(510)).cast("int").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("document_superkmers", f"{_DOC_MINI}, f AS (SELECT *, CASE WHEN mini IS DISTINCT FROM lag(mini) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM mi), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f), r AS (SELECT doc_id, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, any_value(mini) AS mini FROM g GROUP BY doc_id, run) SELECT doc_id, count(*) AS runs, sum(first)::BIGINT AS firsts, max(last - first + 1)::BIGINT AS longest, sum(mini % 1000003)::BIGINT AS minis FROM r GROUP BY doc_id")
+def document_superkmers(spark, sf_dir):
+    m = _document_minimizers(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("mini").alias("ab"))
+    r = O.runs(m, ("doc_id",)).groupBy("doc_id")
+    return r.agg(F.count("*").alias("runs"), F.sum("first").alias("firsts"), F.max(F.col("last") - F.col("first") + 1).alias("longest"), F.sum(F.col("ab") % 1000003).alias("minis"))
+
+
+@query("document_minimizer_sampling", f"{_DOC_MINI} SELECT doc_id, count(*) AS n, sum((mini & 3 = 0)::INT)::BIGINT AS kept FROM mi GROUP BY doc_id")
+def document_minimizer_sampling(spark, sf_dir):
+    keep = S.sampled(Sampling("minimizer", 2), None, F.col("mini"))
+    return _document_minimizers(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(keep.cast("int")).alias("kept"))
+
+
+@query("document_kmer_sampling", f"{_DOC_HASHED} SELECT doc_id, count(*) AS n, sum((h & 3 = 0)::INT)::BIGINT AS kept FROM x GROUP BY doc_id")
+def document_kmer_sampling(spark, sf_dir):
+    return _document_hashed(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(S.sampled(Sampling("kmer", 2), F.col("h"), None).cast("int")).alias("kept"))
+
+
+@query("document_bloom_slots", f"{_DOC_HASHED} SELECT doc_id, count(*) AS n, sum(h & 65535)::BIGINT AS slots, sum(((h & 65535) * 20 + doc_id % 20) * 255 + pos % 255)::BIGINT AS addresses FROM x GROUP BY doc_id")
+def document_bloom_slots(spark, sf_dir):
+    slot = S.bloom_slot(F.col("h"), 16)
+    address = S.bit_address(slot, F.col("doc_id") % 20, F.col("pos") % 255, 20, 255)
+    return _document_hashed(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(slot).alias("slots"), F.sum(address).cast("long").alias("addresses"))
+
+
 # index
 _IX = f"WITH {_U}, {_C}, {_lv()}, {_index(K - Z)}"
 _IX0 = f"WITH {_U}, {_C}, {_lv()}, {_index(K)}"
