@@ -316,7 +316,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     na, nb = F.size("_a"), F.size("_b")
     sized = both.where((F.least(na, nb) * den >= F.greatest(na, nb) * num))
     shared = F.size(F.array_intersect("_a", "_b"))  # i / (na + nb - i) >= num / den
-    return sized.where(shared * (num + den) >= (na + nb) * num).select("u", "v")
+    return sized.where(shared * (num + den) >= (na + nb) * num).select(*pairs.columns)
 
 
 def near_components(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,9 +361,12 @@ def near_components(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc
     x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}")) for i in (0, 1))
     alike = F.least("s0", "s1") * p.like[1] >= F.greatest("s0", "s1") * p.like[0]
     cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
-    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    named = connected_components(linked.union(_checked(cross, sets, p)))
-    of_node = nodes.join(named, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("c"))
+    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(first, ["u", "v"], "left_anti")
+    # what is left to join are components of the first step, so that its rounds are not run again
+    more = connected_components(_checked(cross, sets, p).select(F.col("l0").alias("u"), F.col("l1").alias("v")).distinct())
+    of_first = nodes.join(found, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("label"))
+    joined = of_first.join(more.select(F.col("node").alias("label"), F.col("component").alias("whole")), "label", "left")
+    of_node = joined.select("digest", "rep", F.coalesce("whole", "label").alias("c"))
     ids = of_node.groupBy("c").agg(F.min("rep").alias("component_id"))
     return signed.select("doc_id", "digest").join(of_node.join(ids, "c").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
