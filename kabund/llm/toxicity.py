@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is the embedding of its hash next to the pooled embeddings of its hashed character n-grams. Windows of words that
-overlap by half are read by a gated recurrent unit in either direction; attention pools the states of a window, and a
+overlap by a third are read by a gated recurrent unit in either direction; attention pools the states of a window, and a
 linear layer scores it. A text's score is that of its highest window, calibrated. Labels are those of whole texts, so that
 fitting is done on the windows that score highest (multiple-instance learning). One coordinate of either embedding starts
 as the classes' log-count ratio, all others at random.
