@@ -1,3 +1,7 @@
 """kabund: k-mer abundance analytics on Spark DataFrames."""
 
-__version__ = "0.1.0"
+from kabund.params import IndexParams, QueryFormat, Quantiser, Sampling
+from kabund.plans.engine import KmerIndex
+
+__version__ = "0.2.0"
+__all__ = ["IndexParams", "KmerIndex", "Quantiser", "QueryFormat", "Sampling"]

@@ -13,7 +13,9 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     b = sub.add_parser("index", aliases=["build"], help="index the FASTA files of a manifest")
     b.add_argument("manifest")
-    b.add_argument("-o", "--output", required=True)
+    b.add_argument("-o", "--output", default=None, help="by default the manifest's name with _index")
+    b.add_argument("--allow-count-right-after-angle-bracket", action="store_true", help="take >ka:f:3 as an abundance")
+    b.add_argument("--report", action="store_true", help="print what was skipped and how many keys there are; reads the input again")
     b.add_argument("-k", type=int, required=True)
     b.add_argument("-m", "--minimizer", type=int, default=15)
     b.add_argument("-z", "--findere", type=int, default=None)
@@ -62,13 +64,16 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from kabund.plans.engine import KmerIndex
-    from kabund.sources.sinks import default_output, write_lines
+    from kabund.sources.sinks import default_index, default_output, write_lines
 
     spark = SparkSession.builder.appName("kabund").getOrCreate()
     try:
         if a.command in ("index", "build"):
             params = IndexParams(k=a.k, m=a.minimizer, findere_z=a.findere, bloom_bits_log2=a.bloom, abundance_levels=a.abundance, abundance_min=a.abundance_min, abundance_max=a.abundance_max, chunk_size=a.chunk_size, dense=a.dense, canonical=not a.stranded, sampling=sampling_of(a.kmer_sampling, a.minimizer_sampling), capacity=a.capacity, partitions=a.partitions)
-            KmerIndex.build_manifest(spark, a.manifest, params, sort=not a.no_sort).save(a.output)
+            index = KmerIndex.build_manifest(spark, a.manifest, params, sort=not a.no_sort, allow_in_id=a.allow_count_right_after_angle_bracket)
+            saved = index.save(a.output or default_index(a.manifest))
+            if a.report:
+                print(saved.report(index))
         elif a.command == "query":
             index = KmerIndex.open(spark, a.index)
             fmt = QueryFormat(a.format, a.normalize, a.coverage_min, a.breakpoints)

@@ -7,16 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from kabund.functions import packed
 from kabund.params import Quantiser, Sampling
 from kabund.session import ship
 
-#: Letters of a sequence that are cut up at a time. A substring is found by walking from the start of its string, so whole
-#: contigs would take time that grows with the square of their length.
-CHUNK = 256
-
-
 def reverse_complement(seq: Column) -> Column:
     """A and T, C and G change places, N becomes T, any other letter a NUL."""
     turned = F.translate(F.reverse(seq), "ACGTN", "TGCAT")
@@ -29,36 +26,33 @@ def canonical(kmer: Column) -> Column:
     return F.when(F.translate(kmer, "N", "A") <= rc, kmer).otherwise(rc)
 
 
-def _chunks(df: DataFrame, seq: str, size: int, cols: list[str]) -> DataFrame:
-    """Overlapping parts of seq (_part, from place _off) that together hold each substring of `size` letters once."""
-    n = F.length(seq) - F.lit(size)
-    parts = F.transform(F.sequence(F.lit(0), F.floor(n / F.lit(CHUNK)).cast("int")), lambda c: F.struct((c * CHUNK).alias("off"), F.substring(F.col(seq), c * CHUNK + 1, F.lit(CHUNK + size - 1)).alias("part")))
-    return df.where(F.length(seq) >= size).select(*cols, F.explode(parts).alias("_c")).select(*cols, F.col("_c.off").alias("_off"), F.col("_c.part").alias("_part"))
-
-
-def _each(part: Column, size: int, strand_free: bool) -> Column:
-    """Array of a part's substrings, canonical if strand_free. The reverse complement is made once for the part."""
-    starts = F.sequence(F.lit(1), F.length(part) - F.lit(size - 1))
-    if not strand_free:
-        return F.transform(starts, lambda i: F.substring(part, i, F.lit(size)))
-
-    def of(p: Column) -> Column:
-        n = F.length(p["f"])
+def explode_keys(df: DataFrame, size: int, strand_free: bool = True, seq: str = "seq", hashed: bool = False, mini: int | None = None) -> DataFrame:
+    """df without seq, and pos (from 0), code and odd: length(seq) - size + 1 rows for each row; none of a shorter sequence.
 
-        def one(i: Column) -> Column:
-            fwd, back = F.substring(p["f"], i, F.lit(size)), F.substring(p["r"], n - i - F.lit(size - 2), F.lit(size))
-            return F.when(F.translate(fwd, "N", "A") <= back, fwd).otherwise(back)
+    (code, odd) is the s-mer, see packed.py and smer_text. hashed: also h, the XXH3 of its letters. mini: also mini, the least MD5 hash of
+    its runs of so many letters. Letters are upper case; those outside ASCII are read as question marks.
+    """
+    if size < 1 or mini is not None and not 1 <= mini <= size:
+        raise ValueError("s-mers need a letter at least, and minimizers are at most as long")
+    ship(df.sparkSession)
+    kept = [f for f in df.schema if f.name != seq]
+    added = [StructField("pos", IntegerType()), StructField("code", LongType()), StructField("odd", StringType())]
+    added += [StructField("h", LongType())] * hashed + [StructField("mini", LongType())] * (mini is not None)
+    schema = StructType([*kept, *added])
+    of = packed.exploder(size, strand_free, hashed, mini, schema.fieldNames(), to_arrow_schema(schema))
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(seq).cast("string").alias(seq)).mapInArrow(of, schema)
 
-        return F.transform(starts, one)
 
-    return F.element_at(F.transform(F.array(F.struct(part.alias("f"), reverse_complement(part).alias("r"))), of), 1)
+def smer_text(size: int, code: str = "code", odd: str = "odd") -> Column:
+    """The letters of a key: the digits to base 4 of its code, or what odd says."""
+    digits = F.lpad(F.conv(F.col(code).cast("string"), 10, 4), size, "0")
+    return F.when(F.col(odd) != "", F.col(odd)).otherwise(F.translate(digits, "0123", "ACGT"))
 
 
 def explode_smers(df: DataFrame, size: int, strand_free: bool = True, seq: str = "seq") -> DataFrame:
-    """df without seq, and pos (from 0) and smer: length(seq) - size + 1 rows for each row; none of a shorter sequence."""
-    cols = [c for c in df.columns if c != seq]
-    chunks = _chunks(df, seq, size, cols)
-    return chunks.select(*cols, "_off", F.posexplode(_each(F.col("_part"), size, strand_free)).alias("_i", "smer")).select(*cols, (F.col("_off") + F.col("_i")).alias("pos"), "smer")
+    """df without seq, and pos and smer, as explode_keys."""
+    rows = explode_keys(df, size, strand_free, seq)
+    return rows.select(*[c for c in rows.columns if c not in ("code", "odd")], smer_text(size).alias("smer"))
 
 
 def md5_hash(text: Column) -> Column:
@@ -82,16 +76,9 @@ def xxh3_hash(text: Column) -> Column:
 
 
 def explode_minimizers(df: DataFrame, size: int, m: int, strand_free: bool = True, seq: str = "seq") -> DataFrame:
-    """As explode_smers, and mini: the least hash of the s-mer's m-mers. Each m-mer of a part is hashed once."""
-    if m > size:
-        raise ValueError("m must be at most the s-mers' size")
-    cols = [c for c in df.columns if c != seq]
-    chunks = _chunks(df, seq, size, cols)
-    hashes = F.transform(_each(F.col("_part"), m, strand_free), md5_hash)
-    width = size - m + 1
-    zipped = F.transform(F.array(F.struct(_each(F.col("_part"), size, strand_free).alias("k"), hashes.alias("h"))), lambda p: F.transform(p["k"], lambda k, i: F.struct(k.alias("smer"), F.array_min(F.slice(p["h"], i + 1, F.lit(width))).alias("mini"))))
-    rows = chunks.select(*cols, "_off", F.posexplode(F.element_at(zipped, 1)).alias("_i", "_k"))
-    return rows.select(*cols, (F.col("_off") + F.col("_i")).alias("pos"), "_k.smer", "_k.mini")
+    """As explode_smers, and mini: the least hash of the s-mer's m-mers."""
+    rows = explode_keys(df, size, strand_free, seq, mini=m)
+    return rows.select(*[c for c in rows.columns if c not in ("code", "odd", "mini")], smer_text(size).alias("smer"), "mini")
 
 
 def sampled(sampling: Sampling, smer_hash: Column | None, mini: Column | None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kabund.functions.sequences import plain_number
+from kabund.operators.lookup import NOWHERE, STRETCH
 from kabund.session import ship
 
 ABSENT, NOT_QUERIED = "*", "/"
@@ -28,11 +29,20 @@ def symbol(ab: Column, normal: Column | None = None) -> Column:
 
 
 def runs(ab: DataFrame, keys: tuple[str, ...] = tuple(CELL)) -> DataFrame:
-    """keys, first, last, ab: maximal runs of equal values (null equals null) along pos."""
-    along = Window.partitionBy(*keys).orderBy("pos")
+    """keys, first, last, ab: maximal runs of equal values (null equals null) along pos.
+
+    Found within stretches of positions first; then those of neighbouring stretches are joined, which is a matter of the runs alone.
+    """
+    stretch = F.floor(F.col("pos") / STRETCH).alias("_s")
+    pieces = _islands(ab.select(*keys, stretch, F.col("pos").alias("first"), F.col("pos").alias("last"), "ab"), (*keys, "_s"))
+    return _islands(pieces.select(*keys, "first", "last", "ab"), keys)
+
+
+def _islands(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    along = Window.partitionBy(*keys).orderBy("first")
     changed = F.when(F.row_number().over(along) == 1, 0).otherwise((~F.col("ab").eqNullSafe(F.lag("ab").over(along))).cast("int"))
-    islands = ab.select(*keys, "pos", "ab", changed.alias("_c")).withColumn("_i", F.sum("_c").over(along))
-    return islands.groupBy(*keys, "_i").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("ab").alias("ab")).drop("_i")
+    islands = rows.select(*keys, "first", "last", "ab", changed.alias("_c")).withColumn("_i", F.sum("_c").over(along))
+    return islands.groupBy(*keys, "_i").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("ab").alias("ab")).drop("_i")
 
 
 def run_length_cells(ab: DataFrame, counts: DataFrame | None = None, to: int | None = None) -> DataFrame:
@@ -40,8 +50,8 @@ def run_length_cells(ab: DataFrame, counts: DataFrame | None = None, to: int | N
     normalised."""
     r = runs(ab)
     normal = None
-    if to is not None:
-        r = r.join(counts.select("color_id", "kmer_count"), "color_id")
+    if to is not None:  # NOWHERE has no count, and no value that is shown by one
+        r = r.join(counts.select("color_id", "kmer_count"), "color_id", "left")
         normal = per_count(F.col("ab"), F.col("kmer_count"), to)
     place = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
     r = r.select(*CELL, "first", F.concat(place, F.lit(":"), symbol(F.col("ab"), normal)).alias("run"))
@@ -70,8 +80,8 @@ def normalised(cells: DataFrame, counts: DataFrame, to: int | None) -> DataFrame
     """cells with value for `to` k-mers of their dataset; as they are if to is None."""
     if to is None:
         return cells
-    joined = cells.join(counts.select("color_id", "kmer_count"), "color_id")
-    return joined.select(*CELL, per_count(F.col("value"), F.col("kmer_count"), to).alias("value"))
+    joined = cells.join(counts.select("color_id", "kmer_count"), "color_id", "left")
+    return joined.select(*CELL, F.when(F.col("color_id") == NOWHERE, F.col("value")).otherwise(per_count(F.col("value"), F.col("kmer_count"), to)).alias("value"))
 
 
 def changepoints(values: np.ndarray, penalty: float) -> list[int]:

@@ -9,33 +9,64 @@ from kabund.functions import sequences as S
 from kabund.params import IndexParams
 
 
+#: Columns of an s-mer's key, and how many keys (some 40 bytes each) are broadcast at most.
+KEY = ["code", "odd"]
+FEW_KEYS = 1_000_000
+
+
 def accepted(unitigs: DataFrame, p: IndexParams) -> DataFrame:
     """Records with a count above the minimum (strictly; a count of 0 never is) and at least one s-mer, with their level."""
     ok = unitigs.where((F.col("count") > p.abundance_min) & (F.col("count") > 0) & (F.length("seq") >= p.s))
     return ok.withColumn("level", S.encode_level(F.col("count"), p.quantiser))
 
 
+def acceptance(records: DataFrame, p: IndexParams) -> DataFrame:
+    """color_id, records, no_count (a null one), few (not above the minimum), short (under an s-mer's length), accepted: how many
+    records of each dataset fall under what, the first reason counting."""
+    none, few = F.col("count").isNull(), (F.col("count") <= p.abundance_min) | (F.col("count") <= 0)
+    why = F.when(none, "no_count").when(few, "few").when(F.length("seq") < p.s, "short").otherwise("accepted")
+    each = [F.sum((why == x).cast("long")).alias(x) for x in ("no_count", "few", "short", "accepted")]
+    return records.groupBy("color_id").agg(F.count("*").alias("records"), *each)
+
+
 def smers_of(rows: DataFrame, p: IndexParams) -> DataFrame:
-    """rows without seq, with pos, smer and keep (whether the s-mer is in the sample)."""
+    """rows without seq, with pos, the key (code, odd) and keep (whether the s-mer is in the sample)."""
     kind = p.sampling.kind if p.sampling.zero_bits else "none"
     if kind == "minimizer":
-        out = S.explode_minimizers(rows, p.s, min(p.m, p.s), p.canonical)
+        out = S.explode_keys(rows, p.s, p.canonical, mini=min(p.m, p.s))
         return out.withColumn("keep", S.sampled(p.sampling, None, F.col("mini"))).drop("mini")
-    out = S.explode_smers(rows, p.s, p.canonical)
-    return out.withColumn("keep", S.sampled(p.sampling, S.xxh3_hash(F.col("smer")), None)) if kind == "kmer" else out.withColumn("keep", F.lit(True))
+    if kind == "kmer":
+        out = S.explode_keys(rows, p.s, p.canonical, hashed=True)
+        return out.withColumn("keep", S.sampled(p.sampling, F.col("h"), None)).drop("h")
+    return S.explode_keys(rows, p.s, p.canonical).withColumn("keep", F.lit(True))
 
 
-def partition_of(smer: Column, partitions: int) -> Column:
-    return F.pmod(F.xxhash64(smer), F.lit(partitions)).cast("int")
+def partition_of(partitions: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(partitions)).cast("int")
 
 
-def postings(unitigs: DataFrame, p: IndexParams) -> DataFrame:
-    """(part, smer, color_id, level): the greatest level of each s-mer and dataset. Levels are made once for each record; the
-    maxima are partial before the one shuffle."""
+def postings(unitigs: DataFrame, p: IndexParams, only: DataFrame | None = None) -> DataFrame:
+    """(part, code, odd, color_id, level): the greatest level of each s-mer and dataset. Levels are made once for each record; the
+    maxima are partial before the one shuffle.
+
+    only: keys (code, odd), each once; others are left out before anything is shuffled. They are broadcast up to FEW_KEYS.
+    """
     rows = accepted(unitigs, p).select("color_id", "level", "seq")
     kept = smers_of(rows, p).where("keep")
-    best = kept.groupBy("smer", "color_id").agg(F.max("level").alias("level"))
-    return best.select(partition_of(F.col("smer"), p.partitions).alias("part"), "smer", "color_id", "level")
+    if only is not None:
+        kept = kept.join(some_keys(only), KEY, "left_semi")
+    best = kept.groupBy(*KEY, "color_id").agg(F.max("level").alias("level"))
+    return best.select(partition_of(p.partitions).alias("part"), *KEY, "color_id", "level")
+
+
+def some_keys(keys: DataFrame) -> DataFrame:
+    """keys, marked for a broadcast if they are counted and found to be few."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
+def with_text(post: DataFrame, p: IndexParams) -> DataFrame:
+    """Postings with the s-mers' letters (smer) in place of their keys."""
+    return post.select(*[c for c in post.columns if c not in KEY], S.smer_text(p.s).alias("smer"))
 
 
 def kmer_counts(unitigs: DataFrame, p: IndexParams) -> DataFrame:
@@ -45,26 +76,38 @@ def kmer_counts(unitigs: DataFrame, p: IndexParams) -> DataFrame:
 
 
 def dense_split(post: DataFrame, colors: int, missing: int = 0) -> DataFrame:
-    """(smer, n_colors, dense): a key is dense if at most `missing` datasets lack it."""
-    return post.groupBy("smer").agg(F.countDistinct("color_id").alias("n_colors")).withColumn("dense", F.col("n_colors") >= F.lit(colors - missing))
+    """(code, odd, n_colors, dense): a key is dense if at most `missing` datasets lack it. A key has one posting for each dataset."""
+    return post.groupBy(*KEY).agg(F.count("color_id").alias("n_colors")).withColumn("dense", F.col("n_colors") >= F.lit(colors - missing))
 
 
 def dense_rows(post: DataFrame, colors: int, missing: int = 0) -> DataFrame:
-    """(part, smer, levels): dense keys with an array of level + 1 by dataset, 0 where absent."""
-    got = post.groupBy("part", "smer").agg(F.map_from_entries(F.collect_list(F.struct("color_id", "level"))).alias("m"), F.count("*").alias("n")).where(F.col("n") >= colors - missing)
-    return got.select("part", "smer", F.transform(F.sequence(F.lit(0), F.lit(colors - 1)), lambda c: F.coalesce(F.try_element_at("m", c) + 1, F.lit(0))).alias("levels"))
+    """(part, code, odd, levels): dense keys with an array of level + 1 by dataset, 0 where absent."""
+    got = post.groupBy("part", *KEY).agg(F.map_from_entries(F.collect_list(F.struct("color_id", "level"))).alias("m"), F.count("*").alias("n")).where(F.col("n") >= colors - missing)
+    return got.select("part", *KEY, F.transform(F.sequence(F.lit(0), F.lit(colors - 1)), lambda c: F.coalesce(F.try_element_at("m", c) + 1, F.lit(0))).alias("levels"))
+
+
+def sparse_rows(post: DataFrame, colors: int, missing: int = 0) -> DataFrame:
+    """The postings of the keys that are not dense."""
+    few = dense_split(post, colors, missing).where("not dense").select(*KEY)
+    return post.join(few, KEY, "left_semi").select("part", *KEY, "color_id", "level")
 
 
 def from_dense(dense: DataFrame) -> DataFrame:
     """Postings of dense rows."""
-    return dense.select("part", "smer", F.posexplode("levels").alias("color_id", "_l")).where("_l > 0").select("part", "smer", "color_id", (F.col("_l") - 1).alias("level"))
+    return dense.select("part", *KEY, F.posexplode("levels").alias("color_id", "_l")).where("_l > 0").select("part", *KEY, "color_id", (F.col("_l") - 1).alias("level"))
+
+
+def totals(post: DataFrame, colors: int, missing: int = 0) -> DataFrame:
+    """One row: how many keys there are, how many of them are dense and sparse, and how many postings they have."""
+    split = dense_split(post, colors, missing)
+    return split.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.col("dense").cast("long")), F.lit(0)).alias("dense"), F.coalesce(F.sum((~F.col("dense")).cast("long")), F.lit(0)).alias("sparse"), F.coalesce(F.sum("n_colors"), F.lit(0)).alias("postings"))
 
 
 def sketch(post: DataFrame, p: IndexParams, smer_hash=S.xxh3_hash) -> DataFrame:
     """(slot, color_id, level, keys, levels): a filter with one hash instead of exact keys; keys of one slot share the greatest level."""
-    slot = S.bloom_slot(smer_hash(F.col("smer")), p.bloom_bits_log2)
-    rows = post.select(slot.alias("slot"), "smer", "color_id", "level")
-    return rows.groupBy("slot", "color_id").agg(F.max("level").alias("level"), F.count("smer").alias("keys"), F.countDistinct("level").alias("levels"))
+    slot = S.bloom_slot(smer_hash(S.smer_text(p.s)), p.bloom_bits_log2)
+    rows = post.select(slot.alias("slot"), "color_id", "level")
+    return rows.groupBy("slot", "color_id").agg(F.max("level").alias("level"), F.count("*").alias("keys"), F.countDistinct("level").alias("levels"))
 
 
 def statistics(sketched: DataFrame) -> DataFrame:

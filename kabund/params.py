@@ -109,26 +109,38 @@ class QueryFormat:
             raise ValueError("breakpoints need an index without sampling")
 
 
+#: Between these bases (the upper one doubled until the root lies below it) scales are told apart at this width. Levels are
+#: cut to whole numbers, so that the highest one depends on which of these bases is taken.
+LOWEST_OVER, HIGHEST, WIDTH = 1e-9, 100.0, 2e-9
+
+
 def solve_base(levels: int, greatest: int) -> float:
-    """The base b whose logarithmic scale, linear up to 1 / (b - 1), takes just `levels` levels up to `greatest`; infinite
-    where a scale that is linear all the way has levels left."""
-    tolerance = 1e-9
-
-    def excess(b: float) -> float:
-        return math.log(greatest * (b - 1)) / math.log(b) + 1 / (b - 1) - levels
-
-    # the ends and the width at which halving stops decide the last digits, which decide the highest level: fixed values
-    low, high = 1 + 1 / greatest + tolerance, 100.0
-    while excess(high) > 0:
-        high *= 2
-    above_at_low = excess(low) > 0
-    while high - low > 2 * tolerance:
-        mid = (low + high) / 2
-        if (excess(mid) > 0) == above_at_low:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2
+    """The base b whose logarithmic scale, linear up to t = 1 / (b - 1), takes just `levels` levels up to `greatest`, rounded to the
+    middle of its cell of the grid of bases. Where all values have a level of their own, a base that is linear all the way.
+
+    The root is found in t by Newton's method, kept inside a bracket.
+    """
+    if levels >= greatest:
+        return 1 + 1 / (greatest + 1)
+    if levels == 1:
+        return float(greatest + 2) ** 2
+    low, high, t = 0.0, float(greatest), levels / (1 + math.log(greatest / levels))
+    for _ in range(200):
+        growth = math.log1p(1 / t)
+        steps = math.log(greatest / t) / growth
+        over = steps + t - levels
+        low, high = (low, t) if over > 0 else (t, high)
+        slope = 1 - 1 / (t * growth) + steps / (growth * t * (t + 1))
+        near = t - over / slope if slope else low
+        near = near if low < near < high else (low + high) / 2
+        if abs(near - t) <= 1e-15 * t:
+            break
+        t = near
+    first, last = 1 + 1 / greatest + LOWEST_OVER, HIGHEST
+    while 1 + 1 / t > last:
+        last *= 2
+    cell = (last - first) / 2 ** math.ceil(math.log2((last - first) / WIDTH))
+    return first + (math.floor((1 + 1 / t - first) / cell) + 0.5) * cell
 
 
 class Quantiser:

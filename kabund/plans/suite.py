@@ -16,6 +16,7 @@ from kabund.operators import formats as O
 from kabund.operators import index as I
 from kabund.operators import lookup as L
 from kabund.params import IndexParams, Sampling, false_positive_rate
+from kabund.session import spread
 from kabund.sources import fasta
 
 K, M, Z = 21, 11, 4
@@ -48,7 +49,7 @@ def bases(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", (F.lit(1) + F.col("doc_id") % 97).cast("int").alias("count"), bases(F.col("text")).alias("seq"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", (F.lit(1) + F.col("doc_id") % 97).cast("int").alias("count"), bases(F.col("text")).alias("seq"))
 
 
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,13 @@ def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abundances(spark: SparkSession, sf_dir: str, p: IndexParams = PARAMS) -> DataFrame:
-    return L.kmer_abundances(looked_up(spark, sf_dir), I.postings(unitigs(spark, sf_dir), p), colors(spark, sf_dir), p)
+    """Of the datasets with a hit, and of L.NOWHERE."""
+    smers = L.query_smers(looked_up(spark, sf_dir), p)
+    return L.kmer_abundances(smers, L.hits_in_records(smers, unitigs(spark, sf_dir), p), p)
+
+
+def _everywhere(spark: SparkSession, sf_dir: str, cells: DataFrame, value: str = "value") -> DataFrame:
+    return L.everywhere(cells, colors(spark, sf_dir), value)
 
 
 # SQL fragments
@@ -74,10 +81,6 @@ def _bases_sql(x: str) -> str:
     return f"translate(regexp_replace(lower({x}), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 
 
-def _levels_sql(p: IndexParams = PARAMS) -> str:
-    return "(VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in p.quantiser.table) + ") AS levels(level, least, value)"
-
-
 _U = f"u AS (SELECT doc_id, source, (1 + doc_id % 97)::INT AS count, {_bases_sql('text')} AS seq FROM documents)"
 _C = "c AS (SELECT (row_number() OVER (ORDER BY source) - 1)::INT AS color_id, source AS name FROM (SELECT DISTINCT source FROM documents))"
 _Q = f"q AS (SELECT item_id AS query_idx, {_bases_sql('text')} AS seq FROM benchmark)"
@@ -87,8 +90,16 @@ def _canon(x: str) -> str:
     return f"least({x}, translate(reverse({x}), 'ACGT', 'TGCA'))"
 
 
-def _lv(p: IndexParams = PARAMS) -> str:
-    return f"lv AS (SELECT level, least, value, coalesce(lead(least) OVER (ORDER BY level), 1000000) AS upto FROM {_levels_sql(p)})"
+#: Base of the scale of 255 levels up to 65024 (fixed value), so that the SQL has a scale of its own.
+_BASE = "1.03472795397305::DOUBLE"
+
+
+def _lv() -> str:
+    """lv(level, least, value, upto): the levels that occur, the least abundance of each, what it stands for, where the next begins."""
+    turn = f"(1 / ({_BASE} - 1))"
+    level = f"CASE WHEN v < {turn} THEN v - 1 ELSE floor(ln(v) / ln({_BASE}) + ln({_BASE} - 1) / ln({_BASE}) + {turn} - 1)::INT END"
+    value = f"CASE WHEN level < {turn} THEN level + 1 ELSE floor(pow({_BASE}, level + 1 - {turn}) * {turn})::INT END"
+    return f"lv AS (SELECT level, least, {value} AS value, coalesce(lead(least) OVER (ORDER BY level), 1000000) AS upto FROM (SELECT {level} AS level, min(v)::INT AS least FROM (SELECT unnest(range(1, 65025)) AS v) GROUP BY 1))"
 
 
 def _index(s: int) -> str:
@@ -192,20 +203,26 @@ def _exploded(s: int, what: str) -> str:
 
 @query("kmer_explode", _exploded(K, "SELECT doc_id, count(*) AS n, sum(i - 1)::BIGINT AS places, min(f) AS least, max(f) AS greatest, count(DISTINCT f) AS kinds FROM e GROUP BY doc_id"))
 def kmer_explode(spark, sf_dir):
-    e = S.explode_smers(documents(spark, sf_dir).select("doc_id", "seq"), K, False)
-    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.min("smer").alias("least"), F.max("smer").alias("greatest"), F.countDistinct("smer").alias("kinds"))
+    e = S.explode_keys(documents(spark, sf_dir).select("doc_id", "seq"), K, False)  # all letters have codes, whose order is the letters'
+    g = e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.min("code").alias("_a"), F.max("code").alias("_b"), F.countDistinct("code").alias("kinds"), F.first("odd").alias("odd"))
+    return g.select("doc_id", "n", "places", S.smer_text(K, "_a").alias("least"), S.smer_text(K, "_b").alias("greatest"), "kinds")
 
 
 @query("kmer_canonical", _exploded(K, f"SELECT substr({_canon('f')}, 1, 4) AS start, count(*) AS n, count(DISTINCT {_canon('f')}) AS kinds FROM e GROUP BY 1"))
 def kmer_canonical(spark, sf_dir):
-    e = S.explode_smers(documents(spark, sf_dir).select("seq"), K)
-    return e.groupBy(F.substring("smer", 1, 4).alias("start")).agg(F.count("*").alias("n"), F.countDistinct("smer").alias("kinds"))
+    return _by_start(S.explode_keys(documents(spark, sf_dir).select("seq"), K))
 
 
 @query("kmer_stranded", _exploded(K, "SELECT substr(f, 1, 4) AS start, count(*) AS n, count(DISTINCT f) AS kinds FROM e GROUP BY 1"))
 def kmer_stranded(spark, sf_dir):
-    e = S.explode_smers(documents(spark, sf_dir).select("seq"), K, False)
-    return e.groupBy(F.substring("smer", 1, 4).alias("start")).agg(F.count("*").alias("n"), F.countDistinct("smer").alias("kinds"))
+    return _by_start(S.explode_keys(documents(spark, sf_dir).select("seq"), K, False))
+
+
+def _by_start(e: DataFrame) -> DataFrame:
+    """By the first four letters; keys are summed up first, so that no start's keys are gathered."""
+    kinds = e.groupBy("code", "odd").agg(F.count("*").alias("_n"))
+    g = kinds.groupBy(F.shiftright("code", 2 * (K - 4)).alias("_start")).agg(F.sum("_n").alias("n"), F.count("*").alias("kinds"), F.first("odd").alias("odd"))
+    return g.select(S.smer_text(4, "_start").alias("start"), "n", "kinds")
 
 
 @query("reverse_complement", f"WITH {_U} SELECT doc_id, md5(translate(reverse(seq), 'ACGTN', 'TGCAT')) AS rc_md5, md5({_canon('seq')}) AS canonical_md5 FROM u")
@@ -323,7 +340,8 @@ _IX0 = f"WITH {_U}, {_C}, {_lv()}, {_index(K)}"
 @query("index_max_level", f"{_IX} SELECT color_id, level::INT AS level, count(*) AS n, min(smer) AS least, max(smer) AS greatest FROM ix GROUP BY 1, 2")
 def index_max_level(spark, sf_dir):
     post = I.postings(unitigs(spark, sf_dir), PARAMS)
-    return post.groupBy("color_id", "level").agg(F.count("*").alias("n"), F.min("smer").alias("least"), F.max("smer").alias("greatest"))
+    g = post.groupBy("color_id", "level").agg(F.count("*").alias("n"), F.min("code").alias("_a"), F.max("code").alias("_b"), F.first("odd").alias("odd"))
+    return g.select("color_id", "level", "n", S.smer_text(PARAMS.s, "_a").alias("least"), S.smer_text(PARAMS.s, "_b").alias("greatest"))
 
 
 @query("kmer_count_per_color", f"{_IX} SELECT color_id, sum(count * greatest(0, length(seq) - {K - 1}))::BIGINT AS kmer_count FROM r GROUP BY color_id")
@@ -345,6 +363,44 @@ def collision_stats(spark, sf_dir):
     return I.statistics(I.sketch(I.postings(unitigs(spark, sf_dir), PARAMS), small, S.md5_hash))
 
 
+_REC = f"rec AS (SELECT c.color_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id * 37 % 97) END AS count, {_bases_sql('text')} AS seq FROM documents JOIN c ON source = c.name)"
+
+
+@query("skipped_records", f"WITH {_C}, {_REC}, w AS (SELECT color_id, CASE WHEN count IS NULL THEN 'no_count' WHEN count <= 20 THEN 'few' WHEN length(seq) < {K - Z} THEN 'short' ELSE 'accepted' END AS why FROM rec) SELECT color_id, count(*) AS records, " + ", ".join(f"count(*) FILTER (WHERE why = '{x}') AS {x}" for x in ("no_count", "few", "short", "accepted")) + " FROM w GROUP BY color_id")
+def skipped_records(spark, sf_dir):
+    d = documents(spark, sf_dir).join(colors(spark, sf_dir), F.col("source") == F.col("name"))
+    records = d.select("color_id", F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") * 37 % 97).cast("int")).alias("count"), "seq")
+    return I.acceptance(records, IndexParams(k=K, findere_z=Z, abundance_min=20))
+
+
+def _fasta_files(spark, sf_dir) -> list[str]:
+    """The documents as FASTA files, written where driver and executors can both read them; the paths, in order."""
+    import tempfile
+    import uuid
+
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{given or 'file://' + tempfile.mkdtemp(prefix='kabund-fasta-')}/fasta-{uuid.uuid4().hex}"
+    tag = F.when(F.col("doc_id") % 13 == 0, F.lit(" no abundance")).otherwise(F.concat(F.lit(" ka:f:"), F.col("count"), F.lit(" L:+:1:-")))
+    # a file's first record decides where abundances stand: one of each part is made a sure one
+    d = documents(spark, sf_dir).repartition(4, "source").sortWithinPartitions(F.col("doc_id") % 13 == 0, "doc_id")
+    d.select(F.concat(F.lit(">doc"), "doc_id", tag, F.lit("\n"), F.lower("seq")).alias("value")).write.text(folder)
+    fs, p = fasta.hadoop(spark, folder)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-") and s.getLen())
+
+
+@query("fasta_round_trip", f"WITH {_U} SELECT 'doc' || doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE count END AS count, length(seq)::INT AS n, md5(seq) AS seq_md5 FROM u")
+def fasta_round_trip(spark, sf_dir):
+    records = fasta.with_counts(fasta.read_fasta(spark, fasta.inspect(spark, _fasta_files(spark, sf_dir)), numbered=True))
+    return records.select("id", F.coalesce("count", F.lit(-1)).alias("count"), F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+@query("build_totals", f"{_IX}, d AS (SELECT smer, count(*) AS n FROM ix GROUP BY smer) SELECT count(*) AS keys, count(*) FILTER (WHERE n >= (SELECT count(*) FROM c) - 5) AS dense, count(*) FILTER (WHERE n < (SELECT count(*) FROM c) - 5) AS sparse, sum(n)::BIGINT AS postings FROM d")
+def build_totals(spark, sf_dir):
+    return I.totals(I.postings(unitigs(spark, sf_dir), PARAMS), colors(spark, sf_dir).count(), 5)
+
+
 @query("chunk_ids", f"WITH {_C} SELECT name, color_id, (color_id // 6)::INT AS chunk FROM c")
 def chunk_ids(spark, sf_dir):
     return colors(spark, sf_dir).select("name", "color_id", I.chunk_of(F.col("color_id"), 6).alias("chunk"))
@@ -394,21 +450,34 @@ def merge_equals_single_build(spark, sf_dir):
     from kabund.plans.engine import KmerIndex
 
     merged = KmerIndex.merge(_two_parts(spark, sf_dir))
-    named = lambda ix: ix.postings.join(ix.colors.select("color_id", "name"), "color_id").select("name", "smer", "level")
+    named = lambda ix: ix.postings.join(ix.colors.select("color_id", "name"), "color_id").select("name", *I.KEY, "level")
     both = named(merged).withColumn("side", F.lit(1)).union(named(_engine(spark, sf_dir)).withColumn("side", F.lit(-1)))
-    return both.groupBy("name", "smer", "level").agg(F.sum("side").alias("s")).where("s <> 0").agg(F.count("*").alias("different"))
+    return both.groupBy("name", *I.KEY, "level").agg(F.sum("side").alias("s")).where("s <> 0").agg(F.count("*").alias("different"))
 
 
 # lookup and formats
 @query("lookup_hits", f"WITH {_U}, {_C}, {_Q}, {_lv()}, {_index(K - Z)}, {_qs(K - Z)} SELECT query_idx, ix.color_id, pos, value::INT AS ab FROM qe JOIN ix USING (smer) JOIN lv ON lv.level = ix.level")
 def lookup_hits(spark, sf_dir):
     smers = L.query_smers(looked_up(spark, sf_dir), PARAMS)
-    return L.hits(smers, I.postings(unitigs(spark, sf_dir), PARAMS), PARAMS).select("query_idx", "color_id", "pos", "ab")
+    return L.hits_in_records(smers, unitigs(spark, sf_dir), PARAMS).select("query_idx", "color_id", "pos", "ab")
+
+
+@query("dense_lookup", f"WITH {_U}, {_C}, {_Q}, {_lv()}, {_index(K - Z)}, {_qs(K - Z)} SELECT query_idx, pos, count(*) AS datasets, sum(value)::BIGINT AS abundances, count(*) >= (SELECT count(*) FROM c) - 5 AS dense FROM qe JOIN ix USING (smer) JOIN lv ON lv.level = ix.level GROUP BY query_idx, pos")
+def dense_lookup(spark, sf_dir):
+    """Keys of all datasets but five are looked up in arrays, the others in the postings."""
+    smers = L.query_smers(looked_up(spark, sf_dir), PARAMS)
+    post, n = I.postings(unitigs(spark, sf_dir), PARAMS, only=L.asked_keys(smers)), colors(spark, sf_dir).count()
+    dense, sparse = I.dense_rows(post, n, 5), I.sparse_rows(post, n, 5)
+    found = L.hits(smers, sparse, PARAMS, dense).groupBy("query_idx", "pos").agg(F.count("*").alias("datasets"), F.sum("ab").alias("abundances"))
+    return found.select("query_idx", "pos", "datasets", "abundances", (F.col("datasets") >= n - 5).alias("dense"))
 
 
 @query("findere_rolling_min", f"{_AB} SELECT query_idx, color_id, pos, ab FROM ab")
 def findere_rolling_min(spark, sf_dir):
-    return _abundances(spark, sf_dir).select("query_idx", "color_id", "pos", "ab")
+    ab = _abundances(spark, sf_dir)
+    each = ab.where(F.col("color_id") == L.NOWHERE).select("query_idx", "pos")  # the positions, for the datasets without a hit
+    empty = ab.select("query_idx").distinct().crossJoin(colors(spark, sf_dir).select("color_id")).join(ab.select("query_idx", "color_id").distinct(), ["query_idx", "color_id"], "left_anti")
+    return ab.where(F.col("color_id") != L.NOWHERE).select("query_idx", "color_id", "pos", "ab").unionByName(empty.join(each, "query_idx").select("query_idx", "color_id", "pos", F.lit(0).alias("ab")))
 
 
 _MEDIAN = f"{_AB} SELECT query_idx, color_id, value FROM (SELECT query_idx, color_id, median(CASE WHEN ab > 0 THEN ab END) AS value, sum((ab = 0)::INT) AS zeros, count(*) AS n FROM ab GROUP BY 1, 2) WHERE value > 0 AND (zeros::FLOAT / n::FLOAT)::FLOAT < 0.5::FLOAT"
@@ -416,9 +485,7 @@ _MEDIAN = f"{_AB} SELECT query_idx, color_id, value FROM (SELECT query_idx, colo
 
 @query("fmt_median_coverage", _MEDIAN)
 def flagship(spark, sf_dir):
-    p = PARAMS
-    ab = L.kmer_abundances(looked_up(spark, sf_dir), I.postings(unitigs(spark, sf_dir), p), colors(spark, sf_dir), p, all_pairs=False)
-    return O.covered_medians(ab, 0.5)
+    return O.covered_medians(_abundances(spark, sf_dir), 0.5)
 
 
 def _counts(spark, sf_dir):
@@ -427,22 +494,24 @@ def _counts(spark, sf_dir):
 
 @query("fmt_matrix_average", f"{_AB} SELECT query_idx, color_id, round(avg(ab), 9) AS value FROM ab GROUP BY 1, 2")
 def fmt_matrix_average(spark, sf_dir):
-    return O.mean_cells(_abundances(spark, sf_dir)).withColumn("value", F.round("value", 9))
+    return _everywhere(spark, sf_dir, O.mean_cells(_abundances(spark, sf_dir))).withColumn("value", F.round("value", 9))
 
 
 @query("fmt_matrix_average_normalized", f"{_AB} SELECT query_idx, color_id, round(v / kmer_count * {NORMAL}, 6) AS value FROM (SELECT query_idx, color_id, avg(ab) AS v FROM ab GROUP BY 1, 2) JOIN kc USING (color_id)")
 def fmt_matrix_average_normalized(spark, sf_dir):
-    return O.normalised(O.mean_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL).withColumn("value", F.round("value", 6))
+    cells = O.normalised(O.mean_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL)
+    return _everywhere(spark, sf_dir, cells).withColumn("value", F.round("value", 6))
 
 
 @query("fmt_matrix_median", f"{_AB} SELECT query_idx, color_id, median(ab) AS value FROM ab GROUP BY 1, 2")
 def fmt_matrix_median(spark, sf_dir):
-    return O.median_cells(_abundances(spark, sf_dir))
+    return _everywhere(spark, sf_dir, O.median_cells(_abundances(spark, sf_dir)))
 
 
 @query("fmt_matrix_median_normalized", f"{_AB} SELECT query_idx, color_id, round(v / kmer_count * {NORMAL}, 6) AS value FROM (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) JOIN kc USING (color_id)")
 def fmt_matrix_median_normalized(spark, sf_dir):
-    return O.normalised(O.median_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL).withColumn("value", F.round("value", 6))
+    cells = O.normalised(O.median_cells(_abundances(spark, sf_dir)), _counts(spark, sf_dir), NORMAL)
+    return _everywhere(spark, sf_dir, cells).withColumn("value", F.round("value", 6))
 
 
 _RUNS = f"{_AB}, x AS (SELECT *, CASE WHEN ab IS DISTINCT FROM lag(ab) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM ab WINDOW w AS (PARTITION BY query_idx, color_id ORDER BY pos)), y AS (SELECT *, sum(new) OVER (PARTITION BY query_idx, color_id ORDER BY pos) AS run FROM x), z AS (SELECT query_idx, color_id, min(pos) AS a, max(pos) AS b, any_value(ab) AS ab FROM y GROUP BY query_idx, color_id, run)"
@@ -454,18 +523,23 @@ def _cells(value: str) -> str:
 
 @query("fmt_matrix_raw_rle", f"{_RUNS} SELECT query_idx, color_id, {_cells('ab::VARCHAR')} AS cell FROM z GROUP BY 1, 2")
 def fmt_matrix_raw_rle(spark, sf_dir):
-    return O.run_length_cells(_abundances(spark, sf_dir))
+    return _everywhere(spark, sf_dir, O.run_length_cells(_abundances(spark, sf_dir)), "cell")
 
 
 @query("fmt_matrix_raw_rle_normalized", f"{_RUNS} SELECT query_idx, color_id, a AS first, b AS last, round(ab / kmer_count::DOUBLE * {NORMAL}, 6) AS value FROM z JOIN kc USING (color_id)")
 def fmt_matrix_raw_rle_normalized(spark, sf_dir):
-    r = O.runs(_abundances(spark, sf_dir)).join(_counts(spark, sf_dir), "color_id")
+    """A row for each run; in a dataset without any hit, the one run that the whole query is."""
+    r = O.runs(_abundances(spark, sf_dir))
+    n = _counts(spark, sf_dir)
+    own = r.where(F.col("color_id") != L.NOWHERE)
+    empty = r.where(F.col("color_id") == L.NOWHERE).drop("color_id").crossJoin(n.select("color_id")).join(own.select("query_idx", "color_id").distinct(), ["query_idx", "color_id"], "left_anti")
+    r = own.unionByName(empty.select(*own.columns)).join(n, "color_id")
     return r.select("query_idx", "color_id", "first", "last", F.round(O.per_count(F.col("ab"), F.col("kmer_count"), NORMAL), 6).alias("value"))
 
 
 @query("fmt_colored_header", f"{_AB}, m AS (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) SELECT query_idx, string_agg('col:' || color_id || ':' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END, ' ' ORDER BY color_id) AS tags FROM m GROUP BY 1")
 def fmt_colored_header(spark, sf_dir):
-    cells = O.median_cells(_abundances(spark, sf_dir))
+    cells = _everywhere(spark, sf_dir, O.median_cells(_abundances(spark, sf_dir)))
     tag = F.concat(F.lit("col:"), "color_id", F.lit(":"), S.plain_number(F.col("value")))
     ordered = cells.select("query_idx", "color_id", tag.alias("tag")).groupBy("query_idx").agg(F.array_sort(F.collect_list(F.struct("color_id", "tag"))).alias("t"))
     return ordered.select("query_idx", F.array_join(F.transform("t", lambda s: s["tag"]), " ").alias("tags"))
@@ -473,20 +547,46 @@ def fmt_colored_header(spark, sf_dir):
 
 @query("matrix_pivot", f"{_AB}, m AS (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) SELECT query_idx, 'item' || query_idx AS query, " + ", ".join(f"max(CASE WHEN color_id = {c} THEN v END) AS \"{c}\"" for c in range(5)) + " FROM m GROUP BY query_idx")
 def matrix_pivot(spark, sf_dir):
-    q = looked_up(spark, sf_dir)
-    return O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), q, list(range(5)), "value", F.lit(None).cast("double"))
+    return matrix_pivot_all(spark, sf_dir).select("query_idx", "query", *map(str, range(5)))
 
 
 @query("matrix_pivot_all", None)
 def matrix_pivot_all(spark, sf_dir):
     """As matrix_pivot, with a column for each dataset; SQL can't name them."""
     ids = sorted(r["color_id"] for r in colors(spark, sf_dir).select("color_id").collect())
-    return O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), looked_up(spark, sf_dir), ids, "value", F.lit(None).cast("double"))
+    wide = O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), looked_up(spark, sf_dir), [L.NOWHERE, *ids], "value", F.lit(None).cast("double"))
+    return wide.select("query_idx", "query", *[F.coalesce(str(c), str(L.NOWHERE)).alias(str(c)) for c in ids])
+
+
+@query("matrix_pivot_long", f"{_AB} SELECT query_idx, color_id, median(ab) AS value FROM ab GROUP BY 1, 2")
+def matrix_pivot_long(spark, sf_dir):
+    """The pivot with all its columns, turned back into rows: what SQL has without a pivot."""
+    wide = matrix_pivot_all(spark, sf_dir)
+    ids = wide.columns[2:]
+    rows = wide.select("query_idx", F.explode(F.array(*[F.struct(F.lit(int(c)).alias("color_id"), F.col(c).alias("value")) for c in ids])).alias("_c"))
+    return rows.select("query_idx", "_c.color_id", "_c.value").where("value is not null")
 
 
 @query("lookup_without_z", f"{_ab(0)} SELECT query_idx, color_id, sum((ab > 0)::INT)::BIGINT AS present, max(ab) AS greatest FROM ab GROUP BY 1, 2")
 def lookup_without_z(spark, sf_dir):
-    return _abundances(spark, sf_dir, PLAIN).groupBy("query_idx", "color_id").agg(F.sum((F.col("ab") > 0).cast("int")).alias("present"), F.max("ab").alias("greatest"))
+    cells = _abundances(spark, sf_dir, PLAIN).groupBy("query_idx", "color_id").agg(F.struct(F.sum((F.col("ab") > 0).cast("int")).alias("present"), F.max("ab").alias("greatest")).alias("value"))
+    return _everywhere(spark, sf_dir, cells).select("query_idx", "color_id", "value.present", "value.greatest")
+
+
+_SAMPLED = IndexParams(k=K, m=M, partitions=64, sampling=Sampling("minimizer", 2))
+_KEPT = lambda src, key: f"""SELECT {key}, pos, {_canon('f')} AS smer, min({_MD5.format(x=_canon('w'))}) & 3 = 0 AS keep FROM (SELECT {key}, pos, f, substr(f, j, {M}) AS w FROM (SELECT *, unnest(range(1, {K - M + 2})) AS j FROM (SELECT {key}, i - 1 AS pos, substr(seq, i, {K}) AS f FROM (SELECT {key}, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM {src} WHERE length(seq) >= {K})))) GROUP BY {key}, pos, f"""
+
+
+@query(
+    "lookup_sampled",
+    f"""WITH {_U}, {_C}, {_Q}, {_lv()}, un AS (SELECT c.color_id, u.doc_id, lv.level, u.seq FROM u JOIN c ON u.source = c.name JOIN lv ON u.count >= lv.least AND u.count < lv.upto),
+k AS ({_KEPT('u', 'doc_id')}), ix AS (SELECT smer, color_id, max(level) AS level FROM k JOIN un USING (doc_id) WHERE keep GROUP BY 1, 2), qe AS ({_KEPT('q', 'query_idx')}),
+ab AS (SELECT qe.query_idx, c.color_id, qe.pos, CASE WHEN keep THEN coalesce(lv.value, 0) END::INT AS ab FROM qe CROSS JOIN c LEFT JOIN ix ON keep AND ix.smer = qe.smer AND ix.color_id = c.color_id LEFT JOIN lv ON lv.level = ix.level)
+{_RUNS[len(_AB):]} SELECT query_idx, color_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END || ':' || CASE WHEN ab IS NULL THEN '/' WHEN ab = 0 THEN '*' ELSE ab::VARCHAR END, ',' ORDER BY a) AS cell FROM z GROUP BY 1, 2""",
+)
+def lookup_sampled(spark, sf_dir):
+    """Runs of an index whose s-mers are sampled by their minimizers: those not in the sample are not queried."""
+    return _everywhere(spark, sf_dir, O.run_length_cells(_abundances(spark, sf_dir, _SAMPLED)), "cell")
 
 
 @query("event_runs", "WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN NULL ELSE floor(value / 20)::INT END AS ab FROM events), x AS (SELECT *, CASE WHEN ab IS DISTINCT FROM lag(ab) OVER w OR pos = 0 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM x) SELECT user_id, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, coalesce(any_value(ab), -1) AS ab FROM y GROUP BY user_id, run")
@@ -500,7 +600,7 @@ def event_runs(spark, sf_dir):
 
 @query("changepoints", None)
 def changepoints(spark, sf_dir):
-    return O.changepoint_cells(_abundances(spark, sf_dir), 50.0)
+    return _everywhere(spark, sf_dir, O.changepoint_cells(_abundances(spark, sf_dir), 50.0), "cell")
 
 
 @query("fpr_model", "SELECT b, round(n, 1) AS n, round(100 * (1 - exp(-n * 1e9 / pow(2, b))), 2) AS percent FROM (SELECT unnest([26, 28, 30, 32, 34]) AS b), (SELECT unnest([0.1, 0.5, 1.0, 1.5]) AS n)")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
 
@@ -27,6 +27,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose splits are fewer than the cores (a small table in one file), dealt out so that all cores get a share of the work behind
+    it; any other as it is. Large inputs are never moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of a session, once for each application.
 

@@ -10,21 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kabund.session import ship
+from kabund.session import ship, spread
 
 #: Tags before an abundance in a header; the first one that a header has counts (fixed values).
 TAGS = ("km:f:", "ka:f:")
 RECORDS = "path string, record_idx long, id string, description string, seq string"
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def read_manifest(spark: SparkSession, path: str) -> list[str]:
     """Paths of a manifest, one a line, trimmed, without blank lines, in order."""
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     stream = fs.open(p)
     try:
         text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -44,7 +44,7 @@ def inspect(spark: SparkSession, paths: list[str]) -> list[InputFile]:
     """Size and compression of each file: zstd by its first bytes, gzip by name or first bytes, else plain."""
     out = []
     for path in paths:
-        fs, p = _hadoop(spark, path)
+        fs, p = hadoop(spark, path)
         try:
             size = fs.getFileStatus(p).getLen()
             stream = fs.open(p)
@@ -89,7 +89,7 @@ def read_fasta(spark: SparkSession, files: list[InputFile], numbered: bool = Fal
     sniffed = [f.path for f in files if f.bytes and f.kind.startswith("sniffed")]
     if by_codec:
         text = spark.read.option("lineSep", "\n>").text(by_codec)
-        parts.append(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("rec")))
+        parts.append(spread(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("rec"))))
     if sniffed:
         ship(spark)
         raw = spark.read.format("binaryFile").load(sniffed).select("path", "content")
@@ -146,5 +146,5 @@ def with_counts(records: DataFrame, allow_in_id: bool = True) -> DataFrame:
     found = F.coalesce(F.when(dialect(F.col("description")).isNotNull(), F.struct(dialect(F.col("description")).alias("tag"), F.lit(False).alias("in_id"))), F.when(dialect(F.col("id")).isNotNull() & F.lit(allow_in_id), F.struct(dialect(F.col("id")).alias("tag"), F.lit(True).alias("in_id"))))
     first = records.groupBy("path").agg(F.min_by(F.struct(found.alias("d")), "record_idx").alias("_f")).select(F.col("path").alias("_p"), F.col("_f.d.tag").alias("_tag"), F.col("_f.d.in_id").alias("_in_id"))
     header = F.when(F.col("_in_id"), F.col("id")).otherwise(F.col("description"))
-    joined = records.join(first, F.col("path") == F.col("_p"), "left")
+    joined = records.join(F.broadcast(first), F.col("path") == F.col("_p"), "left")  # a row for each input file, which the driver lists
     return joined.select(*records.columns, F.when(F.col("_tag").isNotNull(), header_count(header, F.col("_tag"))).alias("count"))

@@ -12,6 +12,12 @@ def default_output(index_dir: str, kind: str) -> str:
     return index_dir.rstrip("/") + DEFAULT_NAMES["matrix" if kind.startswith("matrix") else kind]
 
 
+def default_index(manifest: str) -> str:
+    """Beside the manifest, its name without what follows the last dot, and _index."""
+    folder, slash, name = manifest.rpartition("/")
+    return f"{folder}{slash}{name.rpartition('.')[0] or name}_index"
+
+
 def as_lines(df: DataFrame, separator: str, header: list[str] | None = None, drop: tuple[str, ...] = ("query_idx", "color_id")) -> DataFrame:
     """value: a line for each row (in order of query_idx and color_id), behind a header line if one is given."""
     order = [c for c in drop if c in df.columns]

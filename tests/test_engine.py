@@ -159,10 +159,32 @@ def test_dense_rows(spark, files, index, tmp_path):
     split = {r["dense"]: r["count"] for r in I.dense_split(index.postings, 2).groupBy("dense").count().collect()}
     dense = I.dense_rows(index.postings, 2)
     assert split[True] == dense.count() and split[False] > 0
-    both = I.from_dense(dense).join(index.postings, ["part", "smer", "color_id", "level"], "left_anti")
+    both = I.from_dense(dense).join(index.postings, ["part", "code", "odd", "color_id", "level"], "left_anti")
     assert both.count() == 0
-    KmerIndex.build(spark, [str(files / "datasetA.fa"), str(files / "datasetB.fa")], IndexParams(k=31, dense=True, partitions=2)).save(str(tmp_path / "d"))
-    assert spark.read.parquet(str(tmp_path / "d" / "dense")).count() == dense.count()
+    made = KmerIndex.build(spark, [str(files / "datasetA.fa"), str(files / "datasetB.fa")], IndexParams(k=31, dense=True, partitions=2), sort=False).save(str(tmp_path / "d"))
+    assert made.dense.count() == dense.count() and made.sparse.count() == index.postings.count() - 2 * dense.count()
+    q = made.read_queries(str(files / "query.fa"))
+    for kind in ("matrix-raw", "matrix-average"):  # looked for in dense/ first, then in postings/
+        assert matrix(made, q, kind=kind) == matrix(index, q, kind=kind)
+    t = made.totals().first()
+    assert (t["keys"], t["dense"], t["sparse"]) == (split[True] + split[False], split[True], split[False])
+
+
+def test_reports_and_the_copy_of_the_manifest(spark, files, tmp_path):
+    (tmp_path / "odd.fa").write_text(f">a ka:f:5\n{ALL}\n>b nothing\n{ALL}\n>c ka:f:0\n{ALL}\n>d ka:f:9\nACGT\n")
+    built = KmerIndex.build(spark, [str(tmp_path / "odd.fa"), str(tmp_path / "missing.fa")], IndexParams(k=31, partitions=2), sort=False)
+    assert [tuple(r) for r in built.skipped().collect()] == [(0, 4, 1, 1, 1, 1)]
+    saved = built.save(str(tmp_path / "i"))
+    assert "odd\trecords=4 no_count=1 few=1 short=1 accepted=1" in saved.report(built)
+    assert (tmp_path / "i" / "manifest.txt").read_text() == f"{tmp_path}/odd.fa\n{tmp_path}/missing.fa\n"
+    with pytest.raises(ValueError):
+        saved.skipped()
+
+
+def test_abundances_right_behind_the_bracket_need_leave(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(f">ka:f:7\n{ALL}\n")
+    kmers = lambda **a: KmerIndex.build(spark, [str(tmp_path / "x.fa")], IndexParams(k=31), **a).colors.first()["kmer_count"]
+    assert kmers() == 0 and kmers(allow_in_id=True) == 7 * 80
 
 
 def test_sketch_keeps_the_greatest_level(spark, index):

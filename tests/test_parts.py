@@ -74,6 +74,28 @@ def test_smers_and_minimizers(spark):
     assert mini == {(n, i): min(h(canon(s[j : j + 5])) for j in range(i, i + 7)) for n, s in enumerate(seqs) for i in range(len(s) - 10)}
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 16, 31, 32, 40])
+def test_keys_of_any_letters_and_lengths(spark, size):
+    """Slices, long s-mers, N and other letters, empty and null sequences."""
+    rng = random.Random(size)
+    seqs = ["", None, "A" * (size - 1), "".join(rng.choice("ACGT") for _ in range(3000)), "".join(rng.choice("ACGTNRY*") for _ in range(400)), "ACGTN" * 20]
+    df = spark.createDataFrame(list(enumerate(seqs)), "n int, seq string").repartition(2)
+
+    def key(x):
+        rc = x[::-1].translate({**{i: 0 for i in range(128)}, **{ord(a): ord(b) for a, b in zip("ACGTN", "TGCAT")}})
+        return x if x.replace("N", "A") <= rc else rc
+
+    old, S.packed.SLICE = S.packed.SLICE, 700
+    try:
+        for free in (True, False):
+            got = {(r["n"], r["pos"]): r["smer"] for r in S.explode_smers(df, size, free).collect()}
+            assert got == {(n, i): key(s[i : i + size]) if free else s[i : i + size] for n, s in enumerate(seqs) if s for i in range(len(s) - size + 1)}
+    finally:
+        S.packed.SLICE = old
+    codes = [r for r in S.explode_keys(df.where("n = 3"), size).collect()]
+    assert all((r["code"] == -1) == (size > 31) == (r["odd"] != "") for r in codes)
+
+
 def test_both_strands_hash_alike_and_sampling_rates(spark):
     rng = random.Random(2)
     seq = "".join(rng.choice("ACGT") for _ in range(60_000))
@@ -162,7 +184,9 @@ def test_postings_against_brute_force(spark):
             for i in range(len(s) - 4):
                 key = (canon(s[i : i + 5]), c)
                 want[key] = max(want.get(key, -1), p.quantiser.encode(n))
-    assert {(r["smer"], r["color_id"]): r["level"] for r in I.postings(u, p).collect()} == want
+    assert {(r["smer"], r["color_id"]): r["level"] for r in I.with_text(I.postings(u, p), p).collect()} == want
+    some = I.postings(u, p).select("code", "odd").distinct().where("code % 3 = 0")
+    assert I.postings(u, p, only=some).count() == I.postings(u, p).where("code % 3 = 0").count() > 0
     assert {r["color_id"]: r["kmer_count"] for r in I.kmer_counts(u, p).collect()} == totals
 
 
