@@ -29,7 +29,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set (tests on one machine) a temporary folder of this machine is taken.
+    Only where neither is set and all of Spark runs on this machine (tests), a temporary folder is taken; a cluster must name one.
     """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="kabund-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -85,9 +87,15 @@ def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def text_of(name: str = "text") -> Column:
+def text_of(name: str | Column = "text") -> Column:
     """A null text counts as an empty one."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce((F.col(name) if isinstance(name, str) else name).cast("string"), F.lit(""))
+
+
+def row_key(*cols: Column) -> list[Column]:
+    """128 bits that tell rows apart by these columns, nulls included; rows that agree in all of them have one key."""
+    told = [x for c in cols for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(n), *told) for n in (1, 2)]
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

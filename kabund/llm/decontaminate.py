@@ -12,6 +12,7 @@ benchmark of any size is handled, and one within the bound takes one pass.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,6 +124,29 @@ class Matcher:
                 yield item, *best
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(given: tuple, rate: float) -> Matcher:
+    """The matcher of a block (name, broadcast), made once in each Python worker and kept until another block comes."""
+    name, items = given
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(items.value, rate)
+    return _matchers[name]
+
+
+def _blocks(benchmark: DataFrame, p: MatchParams) -> Iterator:
+    """Names and broadcasts of (item_id, text) of all items, each of about p.block_chars characters at most."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // p.block_chars))
+    for block in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): a row for each row of docs and each row of benchmark found in it.
 
@@ -130,18 +154,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchPa
     rows on either side give repeated results. Other columns are ignored; an empty table on either side gives an empty one.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // p.block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, start int, end int"
     out = None
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        given = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])
+    for given in _blocks(benchmark, p):
 
         def of(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(given.value, p.rate)
+            matcher = matcher_of(given, p.rate)
             for b in batches:
                 found = [(d, *x) for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True) for x in matcher.find(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start", "end"]).astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -151,7 +170,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchPa
     return out
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; all columns and the other rows stay, also those with a null doc_id."""
-    bad = contaminated(docs, benchmark, p, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+def clean_only(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchParams(), text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a benchmark item; all columns stay.
+
+    Rows are judged where they are, so that repeated ids and null ids keep their own decisions. Null and empty texts hold nothing.
+    """
+    bounded_batches(docs.sparkSession)
+    for given in _blocks(benchmark, p):
+
+        @F.pandas_udf("boolean")
+        def clean(texts: Iterator[pd.Series], given=given) -> Iterator[pd.Series]:
+            matcher = matcher_of(given, p.rate)
+            for t in texts:
+                yield pd.Series([next(matcher.find(x), None) is None for x in t], dtype=bool)
+
+        docs = docs.where(clean(text_of(text_col)))
+    return docs

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,17 @@ from kabund.llm.common import fold_of, text_of, written
 CHUNK = 1 << 19
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, folds: int, held_out: int, per_class: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of at most per_class documents of each class, those whose ids have the lowest hashes.
+#: Classes that are learnt at most, those with most documents.
+CLASSES = 200
 
-    labels None: the label is a column of docs. Rows of the fold that is held out, null labels and null ids are left out.
-    A document with several label rows counts once, with the greatest label. The sample is bounded by per_class times the
-    number of classes whatever the input's size, and is chosen from the ids alone, before any text is read.
+
+def labelled_rows(docs: DataFrame, labels: DataFrame | None, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
+    """(_id, _t, _y): id, text and label of at most per_class documents of each class, those whose ids have the lowest hashes.
+
+    labels None: the label is a column of docs, and a text goes with the label of its own row. Rows of the fold that is held
+    out, null labels and null ids are left out. A document with several label rows counts once, with the greatest label, and one
+    with several texts with the least of them. The sample is bounded by per_class times the number of classes, CLASSES at
+    most, whatever the input's size, and is chosen from the ids alone, before any text is read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), *([F.col(label).alias("_y")] if labels is None else []))
     ids = own if labels is None else labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).alias("_y"))
@@ -28,16 +35,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, folds
     if labels is not None:  # labels of documents that are not there would use up the bound
         ids = ids.join(docs.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_semi")
     ids = written(ids, "labelled")
-    classes = ids.select("_y").distinct().collect()
+    classes = ids.groupBy("_y").count().orderBy(F.desc("count"), "_y").limit(CLASSES).collect()
     chosen = None
     for row in sorted(classes, key=lambda r: str(r["_y"])):
         own_class = ids.where(F.col("_y") == F.lit(row["_y"])).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = own_class if chosen is None else chosen.union(own_class)
     if chosen is None:
-        return []
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t"))
-    got = F.broadcast(chosen).join(texts, "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t"))
-    return sorted((r["_id"], r["_t"], r["_y"]) for r in got.collect())
+        chosen = ids.limit(0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t"), *([F.col(label).alias("_own")] if labels is None else []))
+    got = F.broadcast(chosen).join(texts, "_id")
+    if labels is None:
+        got = got.where(F.col("_own") == F.col("_y"))
+    return got.groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
+
+
+def labelled_sample(*args) -> list[tuple[int, str, object]]:
+    """The rows of labelled_rows, in order."""
+    return sorted((r["_id"], r["_t"], r["_y"]) for r in labelled_rows(*args).collect())
+
+
+def fitted(sample: DataFrame, fit, p):
+    """fit(rows of sample in order, p), computed by one task: the sample is bounded, and neither texts nor work reach the driver."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted(x for b in batches for x in zip(b["_id"].tolist(), b["_t"].tolist(), b["_y"].tolist(), strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows, p))]})
+
+    got = sample.select("_id", "_t", "_y").coalesce(1).mapInPandas(of, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], p)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

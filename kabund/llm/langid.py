@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kabund.llm.common import bounded_batches
-from kabund.llm.labelled import gram_slots, held_out, labelled_sample
+from kabund.llm.labelled import fitted, gram_slots, held_out, labelled_rows
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -131,7 +131,7 @@ def detect_language(docs: DataFrame, p: LangIdParams = LangIdParams(), folds: in
     is never held out; an empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, None, "lang", folds, fold, p.per_class), p))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_rows(docs, None, "lang", folds, fold, p.per_class), fit, p))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

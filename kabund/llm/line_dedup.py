@@ -1,9 +1,8 @@
 """Line dedup: a segment-partition edit join over lines, with DataFrame functions only.
 
-A line goes if an earlier line is within `edits` edits of it; what is earlier is told by (doc_id, place in the text).
+A line goes if an earlier line is within `edits` edits of it; what is earlier is told by (doc_id, text's hash, place in the text).
 All lines but empty ones take part. A pair may differ by one edit for each 12 code points of its shorter line, up to `edits`, so that
-lines under 12 go only if they are exact repeats. Where `least` is given, lines of at least so many code points take part, with
-`edits` for all of them, and others stay as they are.
+lines under 12 go only if they are exact repeats.
 
 Two lines within t edits share one of t + 1 segments of the shorter one exactly (Li et al., Pass-Join, 2011). A line puts
 its segments into an index under their length, number and content; a line that looks for others takes from its own text just
@@ -19,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kabund.llm.common import written
+from kabund.llm.common import row_key, written
 
 #: Characters whose counts tell most pairs of different lines apart before they are paired, and bits for each count.
 COUNTED, BITS = "eniratsodhlu", 2
-#: Edits that make two lines the same, the code points of the shortest lines that may differ by so many, and code points an edit.
-EDITS, LEAST, EACH = 2, 24, 12
+#: Edits that make two lines the same, and code points of a line for each.
+EDITS, EACH = 2, 12
 
 
 def _let(value: Column, use) -> Column:
@@ -166,17 +165,20 @@ def may_be_within(x: Column, y: Column, edits: int) -> Column:
     return total <= 2 * edits
 
 
+#: What tells a row: its doc_id (the greatest long for none) and a hash of its doc_id and text, whose lowest bit says that there is no doc_id.
+ROW = ["_doc", "_k"]
+_NO_ID = (1 << 63) - 1
+
+
 def _picked(base: DataFrame, places: DataFrame) -> DataFrame:
-    """(_doc, _at, _counts, _line): the lines of base at places (_d, _ats), an array of (at, counts) for each document."""
-    held = base.join(places.hint("shuffle_hash"), F.col("_doc") == F.col("_d"))  # places are small next to the texts
+    """(_doc, _k, _at, _counts, _line): the lines of base at places (_d, _dk, _ats), an array of (at, counts) for each row."""
+    held = base.join(places.hint("shuffle_hash"), (F.col("_doc") == F.col("_d")) & (F.col("_k") == F.col("_dk")))  # places are small next to the texts
     picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_ats"), lambda x: F.struct(x["at"].alias("_at"), x["counts"].alias("_counts"), F.element_at(ls, x["at"] + 1).alias("_line"))))
-    return held.select("_doc", F.explode_outer(F.element_at(picked, 1)).alias("_l")).select("_doc", "_l._at", "_l._counts", "_l._line").where("_doc is not null and _at is not null")
+    return held.select(*ROW, F.explode_outer(F.element_at(picked, 1)).alias("_l")).select(*ROW, "_l._at", "_l._counts", "_l._line").where("_doc is not null and _at is not null")
 
 
-def _budgets(edits: int, least: int | None) -> list[tuple[int, int, int | None]]:
+def _budgets(edits: int) -> list[tuple[int, int, int | None]]:
     """(edits, least, most): what pairs may differ by, and the code points of their shorter lines."""
-    if least is not None:
-        return [(edits, least, None)] if edits else []
     return [(e, EACH * e, None if e == edits else EACH * (e + 1) - 1) for e in range(1, edits + 1)]
 
 
@@ -189,71 +191,75 @@ def _close(a: Column, b: Column, budgets: list[tuple[int, int, int | None]]) ->
 
 
 def _near(base: DataFrame, firsts: DataFrame, budgets: list[tuple[int, int, int | None]]) -> DataFrame:
-    """(d, a): the places of distinct lines within the edits of an earlier one that the shorter of both allows."""
+    """(d, k, a): the places of distinct lines within the edits of an earlier one that the shorter of both allows.
+
+    What is paired are the hashes of lines, so that what rides along with a key does not grow with what tells a row.
+    """
     part = firsts.where(F.col("_n_points") >= budgets[0][1])
-    by_doc = part.select(F.col("_first._doc").alias("_d"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d").agg(F.collect_list("_at").alias("_ats"))
-    distinct = _picked(base, by_doc)
-    # what rides along with a key in two longs: the document; the place, the counts and, above them, whether lengths are the same
-    wide = distinct.select("_doc", F.shiftleft(F.col("_at").cast("long"), 30).bitwiseOR(F.col("_counts").cast("long")).alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
-    at, counts = (lambda m: F.shiftright(F.col(m), 30).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")), (lambda m: F.col(m).bitwiseAND(F.lit((1 << 30) - 1)).cast("int"))
-    entries, probes = index_rows(wide, ["_doc", "_m"], budgets), probe_rows(wide, ["_doc", "_m"], budgets)
-    probes = probes.select(F.col("_doc").alias("_pdoc"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("_m")).alias("_pm"), "_key")
+    by_row = part.select(F.col("_first._doc").alias("_d"), F.col("_first._k").alias("_dk"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d", "_dk").agg(F.collect_list("_at").alias("_ats"))
+    wide = _picked(base, by_row).select(F.xxhash64("_line").alias("_h"), F.col("_counts").alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
+    entries, probes = index_rows(wide, ["_h", "_m"], budgets), probe_rows(wide, ["_h", "_m"], budgets)
+    probes = probes.select(F.col("_h").alias("_ph"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 30))).otherwise(F.col("_m")).alias("_pm"), "_key")
     # lines of one length look for each other both ways: one way is enough
-    before = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (at("_m") < at("_pm")))
-    other = F.when(F.col("_pm") >= F.lit(1 << 62), before).otherwise((F.col("_doc") != F.col("_pdoc")) | (at("_m") != at("_pm")))
-    paired = entries.join(probes, "_key").where(other & may_be_within(counts("_m"), counts("_pm"), budgets[-1][0]))
-    met = paired.select("_doc", at("_m").alias("_at"), "_pdoc", at("_pm").alias("_pat"))
-    # said once more, so that the three uses below stay one plan, which is run once
-    met = met.where("_doc is not null and _at is not null and _pdoc is not null and _pat is not null").distinct()
-    ends = met.select("_doc", "_at").union(met.select("_pdoc", "_pat")).groupBy(F.col("_doc").alias("_d")).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.lit(0).alias("counts"))).alias("_ats"))
-    texts = _picked(base, ends).select(F.col("_doc").alias("_td"), F.col("_at").alias("_ta"), "_line")
-    one = met.join(texts, (F.col("_doc") == F.col("_td")) & (F.col("_at") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", F.col("_line").alias("_a"))
-    both = one.join(texts, (F.col("_pdoc") == F.col("_td")) & (F.col("_pat") == F.col("_ta"))).select("_doc", "_at", "_pdoc", "_pat", "_a", F.col("_line").alias("_b"))
-    near = both.where(_close(F.col("_a"), F.col("_b"), budgets))
-    earlier = (F.col("_doc") < F.col("_pdoc")) | ((F.col("_doc") == F.col("_pdoc")) & (F.col("_at") < F.col("_pat")))
-    later = F.when(earlier, F.struct(F.col("_pdoc").alias("d"), F.col("_pat").alias("a"))).otherwise(F.struct(F.col("_doc").alias("d"), F.col("_at").alias("a")))
-    return near.select(later.alias("_later")).select("_later.d", "_later.a")
-
-
-def removed_lines(base: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
-    """(_gone_doc, _gone_ats): of each _doc, the places (from 0) of its lines that go. base: _doc and _text, not null."""
-    lines = base.select("_doc", F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") >= (1 if least is None else least))
-    hashed = lines.select("_doc", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"), F.length("_line").alias("_n_points"))
+    other = F.when(F.col("_pm") >= F.lit(1 << 30), F.col("_h") < F.col("_ph")).otherwise(F.col("_h") != F.col("_ph"))
+    paired = entries.join(probes, "_key").where(other & may_be_within(F.col("_m"), F.col("_pm"), budgets[-1][0]))
+    met = written(paired.select("_h", "_ph").distinct(), "met")
+    # two lines with one hash are both looked at: the texts decide
+    seen = met.select("_h").union(met.select(F.col("_ph"))).distinct()
+    ends = part.join(seen, "_h", "left_semi").select(F.col("_first._doc").alias("_d"), F.col("_first._k").alias("_dk"), F.struct(F.col("_first._at").alias("at"), F.lit(0).alias("counts")).alias("_at"))
+    texts = _picked(base, ends.groupBy("_d", "_dk").agg(F.collect_list("_at").alias("_ats")))
+    texts = texts.select(F.xxhash64("_line").alias("_th"), F.struct(*ROW, "_at").alias("_place"), "_line")
+    one = met.join(texts, F.col("_h") == F.col("_th")).select("_ph", F.col("_place").alias("_x"), F.col("_line").alias("_a"))
+    both = one.join(texts, F.col("_ph") == F.col("_th")).select("_x", "_a", F.col("_place").alias("_y"), F.col("_line").alias("_b"))
+    later = F.greatest("_x", "_y")
+    return both.where(_close(F.col("_a"), F.col("_b"), budgets)).select(later["_doc"].alias("d"), later["_k"].alias("k"), later["_at"].alias("a"))
+
+
+def removed_lines(base: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(_gone_doc, _gone_k, _gone_ats): of each row, the places (from 0) of its lines that go. base: _doc, _k and _text, not null."""
+    lines = base.select(*ROW, F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") > 0)
+    hashed = lines.select(*ROW, "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"), F.length("_line").alias("_n_points"))
     # the first place of each distinct line
-    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct("_doc", "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c"), F.min("_n_points").alias("_n_points")), "lines")
+    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct(*ROW, "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c"), F.min("_n_points").alias("_n_points")), "lines")
     # occurrences of a line behind its first one
-    repeated = firsts.where("_n > 1").select("_h", "_g", F.col("_first._doc").alias("_fd"), F.col("_first._at").alias("_fa"))
-    gone = hashed.join(repeated, ["_h", "_g"]).where("_doc <> _fd or _at <> _fa").select(F.col("_doc").alias("d"), F.col("_at").alias("a"))
-    if budgets := _budgets(edits, least):  # a line that goes, goes everywhere: its other occurrences are later still
+    repeated = firsts.where("_n > 1").select("_h", "_g", "_first")
+    gone = hashed.join(repeated, ["_h", "_g"]).where(F.struct(*ROW, "_at") != F.col("_first")).select(F.col("_doc").alias("d"), F.col("_k").alias("k"), F.col("_at").alias("a"))
+    if budgets := _budgets(edits):  # a line that goes, goes everywhere: its other occurrences are later still
         gone = gone.union(_near(base, firsts, budgets))
-    return gone.groupBy(F.col("d").alias("_gone_doc")).agg(F.collect_set("a").alias("_gone_ats"))
+    return gone.groupBy(F.col("d").alias("_gone_doc"), F.col("k").alias("_gone_k")).agg(F.collect_set("a").alias("_gone_ats"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs with the lines that repeat an earlier one taken out of text_col, and _lines, _gone: lines of a text, and how many went.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, counts: tuple[str, str] | None = ("_lines", "_gone")) -> DataFrame:
+    """docs with the lines that repeat an earlier one taken out of text_col, and the columns named by counts: lines of a text, and how
+    many went.
 
-    All columns and rows of docs stay. A null text stays null; an empty text has one empty line, which stays. Of a line that
-    occurs at the same place of several rows with one doc_id, all stay. Documents whose id is null are left as they are,
-    as they have no place in the order. Of pairs, one line goes if they are within the edits that their length allows, see above. length_col gets the new number of code points. An empty table gives an empty one.
+    All columns and rows of docs stay. A null text stays null; an empty text has one empty line, which stays. A line is earlier
+    in a row with a lesser doc_id, of rows with one doc_id in that with the lesser hash of its text, and rows without a doc_id are the
+    last. Rows that repeat both doc_id and text are one row, and all of them stay alike. Of pairs, one line goes if they are within
+    the edits that their length allows, see above. length_col gets the new number of code points. An empty table gives an empty one.
     """
-    known = F.col(id_col).cast("long").isNotNull() & F.col(text_col).isNotNull()
+    has_text = F.col(text_col).isNotNull()
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     # _r: the other columns; without any, all exchanges of the texts are the same one
     others = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_r")] if rest else []
-    rows = docs.where(known).select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *others)
-    gone = removed_lines(rows.select("_doc", "_text"), edits, least).hint("shuffle_hash")
+    ident, no_id = F.col(id_col).cast("long"), F.col(id_col).cast("long").isNull()
+    key = row_key(ident, F.col(text_col).cast("string"))[0].bitwiseAND(F.lit(-2)).bitwiseOR(no_id.cast("long"))
+    rows = docs.where(has_text).select(F.coalesce(ident, F.lit(_NO_ID)).alias("_doc"), key.alias("_k"), F.col(text_col).cast("string").alias("_text"), *others)
+    gone = removed_lines(rows.select(*ROW, "_text"), edits).hint("shuffle_hash")
     lines = _lines(F.col("_text"))
     left = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_gone_ats"), s["i"]))
     text = F.when(F.col("_gone_ats").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left(lines), lambda s: s["x"]), "\n"))
-    kept = rows.join(gone, F.col("_doc") == F.col("_gone_doc"), "left").select("_doc", text.alias("_text"), *(["_r"] if rest else []), F.size(lines).alias("_lines"), F.coalesce(F.size("_gone_ats"), F.lit(0)).alias("_gone"))
+    joined = rows.join(gone, (F.col("_doc") == F.col("_gone_doc")) & (F.col("_k") == F.col("_gone_k")), "left")
+    kept = joined.select(*ROW, text.alias("_text"), *(["_r"] if rest else []), F.size(lines).alias("_total"), F.coalesce(F.size("_gone_ats"), F.lit(0)).alias("_went"))
 
     def column(c: str) -> Column:
         kind = docs.schema[c].dataType
         if c == id_col:
-            return F.col("_doc").cast(kind).alias(c)
+            return F.when(F.col("_k").bitwiseAND(F.lit(1)) == 0, F.col("_doc")).cast(kind).alias(c)
         if c == text_col:
             return F.col("_text").cast(kind).alias(c)
         return F.length("_text").cast(kind).alias(c) if c == length_col else F.col("_r")[c].alias(c)
 
-    kept = kept.select(*[column(c) for c in docs.columns], "_lines", "_gone")
-    return kept.unionByName(docs.where(~known).select("*", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col)))).alias("_lines"), F.lit(0).alias("_gone")))
+    told = lambda total, went: [total.alias(counts[0]), went.alias(counts[1])] if counts else []
+    kept = kept.select(*[column(c) for c in docs.columns], *told(F.col("_total"), F.col("_went")))
+    return kept.unionByName(docs.where(~has_text).select("*", *told(F.lit(0), F.lit(0))))

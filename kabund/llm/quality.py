@@ -1,16 +1,15 @@
 """Quality classifier: naive Bayes support vectors (Wang and Manning, 2012).
 
-Indicators of hashed byte n-grams, and of how often a word follows itself, are scaled by the classes' log-count ratios; a linear hinge-loss model over them is fitted by
-dual coordinate descent (Hsieh et al., 2008), and its margins are calibrated to probabilities on a part that was kept from
-the fit.
+Indicators of hashed n-grams, of up to four bytes and of two words, are scaled by the classes' log-count ratios; a linear
+hinge-loss model over them is fitted by dual coordinate descent (Hsieh et al., 2008), and its margins are calibrated to
+probabilities on a part that was kept from the fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kabund.llm.common import bounded_batches, text_of
-from kabund.llm.labelled import Distinct, fit_sigmoid, gram_slots, held_out, labelled_sample
+from kabund.llm.labelled import fitted, Distinct, fit_sigmoid, gram_slots, held_out, labelled_rows
 
 
 @dataclass(frozen=True)
 class NbSvmParams:
-    """orders: lengths of the n-grams. bits: log2 of the slots. per_class: bound of the labelled sample, for each class."""
+    """orders: lengths of the n-grams. bits: log2 of the slots, for bytes and for words each. per_class: bound of the labelled sample, for each class."""
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
     bits: int = 17
@@ -34,17 +33,41 @@ class NbSvmParams:
     threshold: float = 0.3
 
 
-#: Shares of word pairs that repeat one word; each is an indicator of its own, behind the slots of the n-grams.
-REPEATS = (0.0, 0.02, 0.1, 0.3)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: An odd number and its inverse modulo 2^64, of a polynomial hash; words that are handled at a time.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_WORDS = 1 << 15
 
 
-def repeat_slots(data: bytes, bits: int) -> list[int]:
-    """Indicators of the word bigrams that are one word twice: the levels that their share exceeds."""
-    words = data.split()
-    if len(words) < 2:
-        return []
-    share = sum(map(eq, words, islice(words, 1, None))) / (len(words) - 1)
-    return [(1 << bits) + i for i, level in enumerate(REPEATS) if share > level]
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, dtype=np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def pair_slots(data: bytes, bits: int) -> Iterator[np.ndarray]:
+    """Slots (2^bits to 2^(bits + 1)) of the pairs of words that follow one another, by hashes of the words."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    blank = np.concatenate(([True], _SPACE[raw], [True]))
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    for at in range(0, len(starts) - 1, _WORDS):
+        s, e = starts[at : at + _WORDS + 1], ends[at : at + _WORDS + 1]
+        part = raw[s[0] : e[-1]].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * _powers(_INVERSE, len(part)), dtype=np.uint64)))
+            words = (upto[e - s[0]] - upto[s - s[0]]) * _powers(_BASE, int(s[-1] - s[0]) + 1)[s - s[0]]
+            words ^= words >> np.uint64(29)
+            pairs = (words[:-1] * np.uint64(0xBF58476D1CE4E5B9) + words[1:]) * np.uint64(0x94D049BB133111EB)
+            yield (pairs >> np.uint64(64 - bits)).astype(np.uint32) + np.uint32(1 << bits)
+
+
+def features(text: str, distinct: Distinct, p: NbSvmParams) -> Iterator[np.ndarray]:
+    """The distinct slots of a text: its byte n-grams, and its pairs of words."""
+    data = text.encode("utf-8", "surrogatepass")
+    return distinct.of(chain(gram_slots(data, p.orders, p.bits), pair_slots(data, p.bits)))
 
 
 @dataclass
@@ -56,24 +79,22 @@ class NbSvm:
     p: NbSvmParams
 
     def margins(self, texts: Iterator[str]) -> Iterator[float]:
-        distinct = Distinct(self.p.bits)
+        distinct = Distinct(self.p.bits + 1)
         for text in texts:
-            data = text.encode("utf-8", "surrogatepass")
             total, n = 0.0, 0
-            for slots in distinct.of(gram_slots(data, self.p.orders, self.p.bits)):
+            for slots in features(text, distinct, self.p):
                 total += float(self.weights[slots].sum(dtype=np.float64))
                 n += len(slots)
-            yield total / np.sqrt(max(n, 1)) + float(self.weights[repeat_slots(data, self.p.bits)].sum()) + self.bias
+            yield total / np.sqrt(max(n, 1)) + self.bias
 
     def scores(self, texts: Iterator[str]) -> np.ndarray:
         m = np.fromiter(self.margins(texts), dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(self.a * m + self.b, -30, 30)))
 
 
-def _values(row: np.ndarray, ratio: np.ndarray, p: NbSvmParams) -> np.ndarray:
-    """Scaled indicators: those of n-grams over the root of their number, so that long texts do not weigh more."""
-    grams = row < (1 << p.bits)
-    return np.where(grams, ratio[row] / np.sqrt(max(int(grams.sum()), 1)), ratio[row])
+def _values(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Scaled indicators, over the root of their number, so that long texts do not weigh more."""
+    return ratio[row] / np.sqrt(max(len(row), 1))
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: NbSvmParams) -> tuple[np.ndarray, float]:
@@ -83,7 +104,7 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: NbSvmP
     flat = np.empty(int(ends[-1]), dtype=np.float32)  # one array, which goes back to the system as a whole
     values = [flat[e - len(r) : e] for r, e in zip(rows, ends.tolist(), strict=True)]
     for r, v in zip(rows, values, strict=True):
-        v[:] = _values(r, ratio, p)
+        v[:] = _values(r, ratio)
     norms = np.array([float(v @ v) + 1.0 for v in values])
     share = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (-1.0, 1.0)}
     upper = np.array([p.cost * share[s] for s in y])
@@ -104,16 +125,14 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: NbSvmP
 
 def fit(sample: list[tuple[int, str, object]], p: NbSvmParams = NbSvmParams()) -> NbSvm:
     """Fit on (id, text, 0 or 1). With fewer than two classes the model gives each text the share of ones (0.5 without rows)."""
-    size = (1 << p.bits) + len(REPEATS)
+    size = 2 << p.bits
     y = np.array([1.0 if s[2] else -1.0 for s in sample])
     if len(sample) < 10 or len(set(y)) < 2:
         share = float((y > 0).mean()) if len(y) else 0.5
         logit = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return NbSvm(np.zeros(size, dtype=np.float32), 0.0, 0.0, logit, p)
-    distinct, rows = Distinct(p.bits), []
-    for _, text, _ in sample:
-        data = text.encode("utf-8", "surrogatepass")
-        rows.append(np.concatenate([np.array(repeat_slots(data, p.bits), dtype=np.int32), *(x.astype(np.int32) for x in distinct.of(gram_slots(data, p.orders, p.bits)))]))
+    distinct = Distinct(p.bits + 1)
+    rows = [np.concatenate([np.empty(0, np.int32), *(x.astype(np.int32) for x in features(text, distinct, p))]) for _, text, _ in sample]
     ends = np.cumsum([len(r) for r in rows])
     flat = np.concatenate(rows)
     rows = [flat[e - len(r) : e] for r, e in zip(rows, ends.tolist(), strict=True)]
@@ -134,7 +153,7 @@ def fit(sample: list[tuple[int, str, object]], p: NbSvmParams = NbSvmParams()) -
     order = np.random.default_rng(3).permutation(len(y))
     kept, rest = order[: len(y) // 5], order[len(y) // 5 :]
     w, bias = fitted(rest if len(set(y[rest])) == 2 else order)
-    margin = np.array([float(_values(rows[i], w, p).sum()) + bias for i in kept])
+    margin = np.array([float(_values(rows[i], w).sum()) + bias for i in kept])
     a, b = fit_sigmoid(margin, y[kept])
     w, bias = fitted(order)
     return NbSvm(w, bias, a, b, p)
@@ -148,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: NbSvmParams = NbSvmPara
     columns are ignored. An empty table gives an empty one; without labels each score is 0.5.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, folds, fold, p.per_class), p))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_rows(docs, labels, label, folds, fold, p.per_class), fit, p))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,11 +183,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: NbSvmParams = NbSvmParams()
     Rows are scored where they are, in one pass, so that repeated ids and null ids keep their own decisions.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", folds, fold, p.per_class), p))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_rows(docs, labels, "quality", folds, fold, p.per_class), fit, p))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(model.value.scores(iter(t)))
 
-    return docs.withColumn("__score", score(text_of())).where(F.col("__score") >= p.threshold).drop("__score")
+    return docs.where(score(text_of()) >= p.threshold)

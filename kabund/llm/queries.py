@@ -23,9 +23,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece, with its place in the document and in its bin, and the MD5 of the bin's tokens."""
     from kabund.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    bins = pack(table(spark, sf_dir, "documents")).select("bin", "residual", "segments", F.md5("tokens").alias("tokens_md5"))
+    s = F.col("_s")
+    return bins.select("bin", "residual", "tokens_md5", F.explode("segments").alias("_s")).select(*[s[c].alias(c) for c in ("doc_id", "piece", "start", "n_tokens", "offset")], "bin", "residual", "tokens_md5")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +57,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 24 code points or more, as its SQL has it; op8_line_dedup_all takes them all."""
-    from kabund.llm.line_dedup import LEAST
-
-    return _deduped(spark, sf_dir, LEAST)
-
-
-def op8_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deduped(spark, sf_dir, None)
-
-
-def _deduped(spark: SparkSession, sf_dir: str, least: int | None) -> DataFrame:
     from kabund.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=least)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = (F.col("_lines") - F.col("_gone")).cast("long")
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), kept.alias("n_kept"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
@@ -93,23 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
-    "op8_line_dedup_all": op8_line_dedup_all,
     "op9_langid": op9_langid,
     "op10_doc_fingerprints": op10_doc_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
-    # a line goes if an earlier one is within two edits; lines under 24 code points take no part
+    # a line goes if an earlier one is within an edit for each 12 code points of the shorter, two at most
     "op8_line_dedup": """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 each AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
-long AS (SELECT * FROM each WHERE length(line) >= 24),
-firsts AS (SELECT line, min((doc_id, pos)) AS f, length(line) AS n FROM long GROUP BY line),
+firsts AS (SELECT line, min((doc_id, pos)) AS f, length(line) AS n FROM each WHERE line <> '' GROUP BY line),
 near AS (
   SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.f < b.f
-  WHERE levenshtein(a.line, b.line) <= 2),
+  WHERE least(a.n, b.n) >= 12 AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 12)),
 gone AS (
-  SELECT DISTINCT l.doc_id, l.pos FROM long l JOIN firsts USING (line)
+  SELECT DISTINCT l.doc_id, l.pos FROM each l JOIN firsts USING (line)
   WHERE (l.doc_id, l.pos) <> firsts.f OR l.line IN (SELECT line FROM near))
 SELECT e.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.pos IS NULL) AS n_kept,
        md5(coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE g.pos IS NULL), '')) AS text_md5

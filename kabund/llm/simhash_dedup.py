@@ -26,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kabund.llm.common import bounded_batches, text_of, written
+from kabund.llm.common import bounded_batches, row_key, text_of, written
 from kabund.llm.components import connected_components
 
 #: Shingles whose votes are counted at a time, so that a very long text takes bounded memory.
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, p: SimHashParams, id_col: str = "doc_id", text
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [fingerprint(t, p) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [fingerprint(t, p) for t in b["text"]]}).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(of, "doc_id long, fingerprint string")
 
@@ -256,10 +256,11 @@ def _search_shards(radius: int):
 def links(distinct: DataFrame, p: SimHashParams) -> DataFrame:
     """Edges (u, v) between labels that connect just the fingerprints within the radius of each other.
 
-    distinct: fp (hexadecimal digits) and rep (a long that stands for it), one row for each fingerprint.
+    distinct: fp (hexadecimal digits) and rep (a long that stands for it alone), one row for each fingerprint.
     """
     if not p.tables:
         raise ValueError("no tables")
+    bounded_batches(distinct.sparkSession)
     rows = distinct.select("fp", "rep").mapInPandas(_shard_keys(p), "fp string, rep long, shards array<long>").select("fp", "rep", F.explode("shards").alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     # sub-shards of a bounded size; a row enters its own tree, and searches those of the lower numbers
@@ -270,19 +271,28 @@ def links(distinct: DataFrame, p: SimHashParams) -> DataFrame:
     return dealt.mapInPandas(_search_shards(p.radius), "u long, v long")
 
 
+def label_of(fp: Column) -> Column:
+    """A long for a fingerprint: itself if it has one word, else numbers of rows would have to stand for it."""
+    return F.conv(fp, 16, -10).cast("long")
+
+
 def simhash_components(docs: DataFrame, p: SimHashParams = EXACT_2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
-    component_id is the smallest doc_id that can be reached over links, itself included. Null and empty texts, and texts of
-    white space, have the fingerprint zero and are linked like any other. A row whose doc_id is null keeps its fingerprint;
-    it is linked, but its id is not taken as a component's name unless it has no other. Repeated rows stay repeated.
-    An empty table gives an empty one.
+    What is linked are fingerprints (of one 64-bit word), whatever documents have them: rows that repeat a doc_id with other texts
+    stay apart, and rows without a doc_id link like any other. component_id is the smallest doc_id of all rows that can be
+    reached, itself included; null where none of them has a doc_id. Null and empty texts, and texts of white space, have the
+    fingerprint zero and are linked like any other. Repeated rows stay repeated. An empty table gives an empty one.
     """
+    if p.words != 1:
+        raise ValueError("components are of fingerprints of one word")
     fps = written(fingerprints(docs, p, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("rep"))
-    components = connected_components(links(distinct.where("rep is not null"), p))
-    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, F.col("fingerprint") == F.col("fp"), "left").select("doc_id", "fingerprint", "component_id")
+    distinct = fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")).withColumn("rep", label_of(F.col("fp")))
+    components = connected_components(links(distinct, p))
+    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = named.join(ids, "component").select("fp", "component_id")
+    return fps.join(of_fp, F.col("fingerprint") == F.col("fp"), "left").select("doc_id", "fingerprint", "component_id")
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -319,41 +329,39 @@ def _checked(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     return sized.where(shared * (num + den) >= (na + nb) * num).select(*pairs.columns)
 
 
-def near_components(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id), one row for each row of docs, whose ids are not null and whose texts have words.
+def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
+    """(_a, _b, _id, c): of each row of rows (_a, _b: longs that tell rows apart, _id, _text: a text with words) the number of its component.
 
     Rows with one shingle set are one node. Nodes that share a band key are candidates, and a link is kept only where the sets
     themselves are alike enough. Of each key's nodes, all are first checked against the lowest one; what that has not brought
     together is then checked pair by pair. So a large group of copies costs about one check a node, and no candidate is left out.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    bounded_batches(rows.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, p.shingle) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [band_keys(h, p) for h in sets]})
+            sets = [shingle_set(t, p.shingle) for t in b["_text"]]
+            yield pd.DataFrame({"_a": b["_a"], "_b": b["_b"], "_id": b["_id"].astype("Int64"), "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [band_keys(h, p) for h in sets]})
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, p.shingle) for t in b["text"]]
-            yield pd.DataFrame({"digest": [_set_digest(h) for h in sets], "set": [h.view(np.int64) for h in sets]})
+            sets = [shingle_set(t, p.shingle) for t in b["_text"]]
+            yield pd.DataFrame({"node": b["node"], "set": [h.view(np.int64) for h in sets]})
 
-    signed = written(rows.mapInPandas(sign, "doc_id long, digest binary, n int, keys array<long>"), "signatures")
+    signed = written(rows.mapInPandas(sign, "_a long, _b long, _id long, digest binary, n int, keys array<long>"), "signatures")
     # numbered where they are written, so that a node keeps its number
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = F.min(F.struct("_a", "_b")).alias("rep")
+    nodes = signed.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     lowest = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1").select("key", "low")
     met = written(keyed.join(lowest, "key"), "met")
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest")
-    texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInPandas(take, "digest binary, set array<long>")
-    # a doc_id can have several texts, and a text several rows
-    sets = written(sets.join(wanted.select("node", "digest"), "digest").select("node", "set").dropDuplicates(["node"]), "sets")
-
-    first = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    linked = written(_checked(first, sets, p), "links")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("rep._a").alias("_a"), F.col("rep._b").alias("_b"))
+    # a row that is there several times gives its node's set several times
+    sets = written(rows.join(wanted, ["_a", "_b"]).select("node", "_text").mapInPandas(take, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+
+    pairs = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    linked = written(_checked(pairs, sets, p), "links")
     found = connected_components(linked).select("node", "component")
     labelled = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
@@ -361,26 +369,35 @@ def near_components(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc
     x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}")) for i in (0, 1))
     alike = F.least("s0", "s1") * p.like[1] >= F.greatest("s0", "s1") * p.like[0]
     cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
-    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(first, ["u", "v"], "left_anti")
+    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(pairs, ["u", "v"], "left_anti")
     # what is left to join are components of the first step, so that its rounds are not run again
     more = connected_components(_checked(cross, sets, p).select(F.col("l0").alias("u"), F.col("l1").alias("v")).distinct())
-    of_first = nodes.join(found, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("label"))
+    of_first = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("label"))
     joined = of_first.join(more.select(F.col("node").alias("label"), F.col("component").alias("whole")), "label", "left")
-    of_node = joined.select("digest", "rep", F.coalesce("whole", "label").alias("c"))
-    ids = of_node.groupBy("c").agg(F.min("rep").alias("component_id"))
-    return signed.select("doc_id", "digest").join(of_node.join(ids, "c").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    return signed.select("_a", "_b", "_id", "digest").join(joined.select("digest", F.coalesce("whole", "label").alias("c")), "digest").drop("digest")
 
 
 def keep_one(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one whose id names it. All columns of docs stay.
+    """docs with one row of each component: that of the smallest doc_id, of several texts with one doc_id the one that comes first, of
+    rows that repeat both the first by what its columns hold. All columns of docs stay.
 
-    Of rows with words that repeat one doc_id, the first by text stays. Documents without any word are no copies of each other
-    and stay, each row of them; a null doc_id stays.
+    A row is told by its doc_id and its text, so that other texts with the same doc_id have components of their own. Rows
+    without a doc_id take part, and stay only where no row of their component has one. Documents without any word are no copies
+    of each other and stay, each row of them. An empty table gives an empty one.
     """
-    with_words = docs.where(text_of(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = near_components(with_words, p, id_col, text_col)
-    decided = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
-    kept = docs.join(decided, F.col(id_col).cast("long") == F.col("__id"), "left").where("__c is null or __c = __id")
-    once = kept.where("__n is null or __n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    many = kept.where("__n > 1").groupBy("__id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_of(text_col)).alias("__row"))
-    return once.unionByName(many.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
+    ident, text = F.col("_r")[id_col].cast("long"), text_of(F.col("_r")[text_col])
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    a, b = row_key(ident, text)
+    named = held.where(has_words).select(a.alias("_a"), b.alias("_b"), "_r")
+    found = near_components(named.select("_a", "_b", ident.alias("_id"), text.alias("_text")), p)
+    order = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    rows = found.groupBy("_a", "_b").agg(F.min("_id").alias("_id"), F.first("c").alias("c"), F.count("*").alias("_n")).withColumn("_o", order)
+    # the least row of each component; rows that are alone in theirs and there once need no decision
+    best = rows.groupBy("c").agg(F.min("_o").alias("_best"), F.count("*").alias("_rows"))
+    decided = rows.join(best, "c").where("_rows > 1 or _n > 1").select("_a", "_b", (F.col("_o") == F.col("_best")).alias("_stays"), "_n")
+    joined = named.join(decided, ["_a", "_b"], "left")
+    once = joined.where("_stays is null or (_stays and _n = 1)").select("_r")
+    many = joined.where("_stays and _n > 1").groupBy("_a", "_b").agg(F.min_by("_r", F.to_json("_r")).alias("_r")).select("_r")
+    out = held.where(~has_words).unionByName(once).unionByName(many)
+    return out.select(*[F.col("_r")[c].alias(c) for c in docs.columns])

@@ -39,9 +39,25 @@ class TokenFileParams:
     dtype: str = "<u2"
 
 
+    def __post_init__(self) -> None:
+        kind = np.dtype(self.dtype)
+        if kind.kind != "u" or not 0 <= self.eod <= np.iinfo(kind).max or self.block < 1 or self.group < 1:
+            raise ValueError("tokens are unsigned, eod is one of them, block and group are positive")
+
+
 _encoders: dict[int, object] = {}
 
 
+def vocabulary_of(p: TokenFileParams) -> bytes:
+    """The vocabulary file, read by the driver; its ids must fit into p.dtype, and leave eod free."""
+    with open(p.vocabulary, "rb") as f:
+        content = f.read()
+    ids = [int(line.split()[1]) for line in content.splitlines()]
+    if max(ids) > np.iinfo(np.dtype(p.dtype)).max or p.eod in ids:
+        raise ValueError(f"the ids of {p.vocabulary} do not fit into {p.dtype}, or {p.eod} is one of them")
+    return content
+
+
 def encoder(vocabulary: bytes):
     """The tokenizer of a vocabulary file's content, made once in each process."""
     import tiktoken
@@ -61,8 +77,7 @@ def write_flat(docs: DataFrame, p: TokenFileParams = TokenFileParams(), id_col:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    with open(p.vocabulary, "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+    vocabulary = spark.sparkContext.broadcast(vocabulary_of(p))
     dtype, block, eod = np.dtype(p.dtype), p.block, p.eod
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,6 +155,7 @@ def count_tokens(blocks: DataFrame, p: TokenFileParams = TokenFileParams()) -> D
     Tokens behind a file's last separator are a document that is not terminated. Empty files have no documents; a separator at
     once behind another ends a document of 0 tokens.
     """
+    bounded_batches(blocks.sparkSession)
     found = _scan(blocks, p).withColumn("_group", F.floor(F.col("block") / F.lit(p.group)))
     summary = written(found, "scan")  # a few numbers for each block and one for each document
     inside = Window.partitionBy("file", "_group").orderBy("block")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kabund.llm.common import bounded_batches, text_of
-from kabund.llm.labelled import fit_sigmoid, held_out, labelled_sample
+from kabund.llm.labelled import fitted, fit_sigmoid, held_out, labelled_rows
 
 
 @dataclass(frozen=True)
@@ -370,7 +370,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: GruParams = GruParams(
     labels each score is 0.5.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, folds, fold, p.per_class), p))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_rows(docs, labels, label, folds, fold, p.per_class), fit, p))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -38,7 +38,7 @@ def clashing(odd):
     from pyspark.sql import functions as F
 
     out = odd
-    for c in ("score", "held_out", "predicted", "fp", "rep", "component_id", "fingerprint", "shard_", "key", "bin", "piece", "file", "block", "gone", "doc", "_doc", "_text", "line", "n", "u", "v", "node"):
+    for c in ("score", "held_out", "predicted", "fp", "rep", "component_id", "fingerprint", "shard_", "key", "bin", "piece", "file", "block", "gone", "doc", "_doc", "_text", "line", "n", "u", "v", "node", "__score", "__c", "__id", "__bad", "_gone", "_lines", "_r", "_k", "_a", "_b", "row", "block", "cluster"):
         out = out.withColumn(c, F.lit(1))
     return out
 

@@ -37,31 +37,72 @@ def test_best_fit_is_the_tightest_of_all_bins():
         n = rng.randint(0, 150)
         z = sorted((rng.randint(0, 50) for _ in range(n)), reverse=True)
         a, c = [rng.choice("abcdefgh") for _ in z], [rng.randint(0, 60) for _ in z]
-        assert packing.best_fit(z, a, c, 50) == tightest(z, a, c, 50)
+        assert packing.best_fit(z, a, [[x] for x in c], 50) == tightest(z, a, c, 50)
+
+
+def plain_encoder(p):
+    with open(p.tokens.vocabulary, "rb") as f:
+        return T.encoder(f.read())
 
 
 def test_packing_of_odd_rows(spark, odd, clashing, none, corpus):
     p = packing.PackParams(capacity=100, block_pieces=60)
     both = clashing.unionByName(corpus, allowMissingColumns=True)
-    rows = packing.pack(both, p).collect()
-    words = Counter()
-    for r in both.collect():
-        words[r["doc_id"]] += len((r["text"] or "").split())
-    got = Counter()
-    for r in rows:
-        got[r["doc_id"]] += r["n_tokens"]
-    assert got == words or +got == +words
-    source = {r["doc_id"]: r["source"] for r in both.collect()}
-    load, held = Counter(), Counter()
-    for r in rows:
-        load[r["bin"]] += r["n_tokens"]
-        if r["doc_id"] is not None:
-            held[r["bin"], source[r["doc_id"]]] += 1
-    assert max(load.values()) <= 100 and max(held.values()) == 1
-    assert all(r["residual"] == 100 - load[r["bin"]] for r in rows)
-    again = packing.pack(both.repartition(7), p).collect()
-    assert sorted(map(str, again)) == sorted(map(str, rows))
+    bins = packing.pack(both, p).collect()
+    e = plain_encoder(p)
+    want = sorted(str((r["doc_id"], e.encode_ordinary(r["text"] or ""))) for r in both.collect())
+    # unpacking gives the documents' tokens back; rows that repeat a doc_id are told apart by what follows what
+    parts, load, source = {}, Counter(), {r["doc_id"]: r["source"] for r in both.collect()}
+    for b in bins:
+        tokens = np.frombuffer(b["tokens"], "<u2").tolist()
+        at = 0
+        for s in b["segments"]:
+            assert s["offset"] == at and s["start"] == 100 * s["piece"]
+            at += s["n_tokens"]
+            parts.setdefault((s["doc_id"], s["piece"]), []).append(tokens[s["offset"] : at])
+        assert at == len(tokens) == b["n_tokens"] == 100 - b["residual"] <= 100
+        held = Counter(source[s["doc_id"]] for s in b["segments"] if s["doc_id"] is not None)
+        assert max(held.values(), default=0) <= 1
+    for (d, k), x in parts.items():
+        if len(x) == 1 and k == 0 and d is not None:
+            whole = sum((parts[d, i][0] for i in range(sum(1 for y in parts if y[0] == d))), [])
+            assert str((d, whole)) in want
+    assert sum(len(x) for (d, k), x in parts.items() if k == 0) == both.count()
+    assert sorted(t for x in parts.values() for y in x for t in y) == sorted(t for r in both.collect() for t in e.encode_ordinary(r["text"] or ""))
     assert packing.pack(none, p).count() == 0
+    assert packing.pack(both.drop("source"), p).count() >= max(len(x) for x in parts.values())
+    flat = packing.placed(packing.pack(both, p))
+    assert flat.columns == ["doc_id", "piece", "start", "n_tokens", "bin", "offset", "residual"] and flat.count() == sum(map(len, parts.values()))
+
+
+def test_near_copies_share_no_bin(spark):
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(500)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(30)]
+    rows = []
+    for i in range(150):
+        b = list(base[i % 30])
+        b[rng.randrange(60)] = "changed"
+        rows.append((i, " ".join(b), f"source{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cluster in (None, F.col("doc_id") % 30):
+        for b in packing.pack(docs, packing.PackParams(capacity=4000), cluster).collect():
+            assert len({s["doc_id"] % 30 for s in b["segments"]}) == len(b["segments"]) > 1
+
+
+def test_many_rows_of_one_kind_are_dealt_to_many_blocks(spark):
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    bins = packing.pack(docs, packing.PackParams(block_pieces=20)).collect()
+    assert len({b["bin"].split("-")[0] for b in bins}) > 10 and sum(len(b["segments"]) for b in bins) == 300
+
+
+def test_vocabularies_that_do_not_fit():
+    with pytest.raises(ValueError):
+        T.TokenFileParams(dtype="<i2")
+    with pytest.raises(ValueError):
+        T.vocabulary_of(T.TokenFileParams(dtype="|u1", eod=9))
+    with pytest.raises(ValueError):
+        T.vocabulary_of(T.TokenFileParams(eod=7))
 
 
 def test_scan_is_that_of_one_pass(spark):
@@ -199,7 +240,10 @@ def test_decontamination_of_odd_rows(spark, odd, clashing, none):
     rows = DC.contaminated(clashing, bench).collect()
     assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in rows))) == ["(4, 1)", "(4, 1)", "(None, None)"]
     kept = DC.clean_only(clashing, bench)
-    assert kept.columns == clashing.columns and kept.count() == odd.count() - 2
+    # each row is judged by its own text: the one without an id goes too, and others without an id stay
+    assert kept.columns == clashing.columns and kept.count() == odd.count() - 3
+    two = spark.createDataFrame([(5, "clean words only"), (5, "so: the same text, twice; in two rows!")], "doc_id long, text string")
+    assert [r["text"] for r in DC.clean_only(two, bench).collect()] == ["clean words only"]
     assert DC.contaminated(none, bench).count() == 0 and DC.contaminated(odd, bench.where("false")).count() == 0
 
 

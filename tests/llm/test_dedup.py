@@ -94,10 +94,45 @@ def test_simhash_of_odd_rows(spark, odd, clashing, none):
     kept = SD.keep_one(clashing)
     assert kept.columns == clashing.columns
     ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect())
-    assert ids == [-1, -1, 0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert ids == [-1, -1, 0, 1, 2, 3, 4, 5, 5, 6, 7, 8]
     assert SD.keep_one(none).count() == 0
 
 
+def at_distance(spark, monkeypatch, fps):
+    """simhash_components of rows (doc_id, fingerprint) with given fingerprints."""
+    rows = spark.createDataFrame(fps, "doc_id long, fingerprint string")
+    monkeypatch.setattr(SD, "fingerprints", lambda *_: rows)
+    return sorted((r["fingerprint"], str(r["doc_id"]), r["component_id"]) for r in SD.simhash_components(rows).collect())
+
+
+def test_fingerprints_are_linked_whatever_ids_they_have(spark, monkeypatch):
+    x = lambda v: f"{v:016x}"
+    # a chain over a fingerprint that only a row without an id has; no link between unlike fingerprints of one id
+    rows = [(9, x(0)), (None, x(3)), (4, x(15)), (5, x(1 << 40)), (5, x(0xFF << 50)), (7, x(0xFF << 50 | 1)), (3, x(1 << 40 | 1)), (None, x(0xF0F0 << 20))]
+    want = {x(0): 4, x(3): 4, x(15): 4, x(1 << 40): 3, x(1 << 40 | 1): 3, x(0xFF << 50): 5, x(0xFF << 50 | 1): 5, x(0xF0F0 << 20): None}
+    assert at_distance(spark, monkeypatch, rows) == sorted((f, str(i), want[f]) for i, f in rows)
+
+
+def test_rows_are_told_by_id_and_text(spark):
+    """Rows that share an id, or have none, lose nothing but true copies."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = a.split()
+    near[30] = "changed"
+    rows = [(5, a, "x", None, 1), (5, b, "y", "s", 2), (7, " ".join(near), "x", "s", 3), (None, c, "x", "s", 4), (None, c, "x", "s", 4), (None, d, "x", "s", 5), (8, d, "x", "s", 6), (8, d, "x", "s", 7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in SD.keep_one(df.withColumn("__c", F.lit(1)).withColumn("_r", F.lit(2)).withColumn("_stays", F.lit(True))).collect())
+    assert kept == sorted([("5", a), ("5", b), ("None", c), ("8", d)])
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(40))
+    x, y, z = line(), line(), line()
+    two = spark.createDataFrame([(1, x), (5, x), (5, f"{y}\n{x}"), (None, f"{x}\n{z}"), (None, f"{z}\nab\nab"), (5, x)], "doc_id long, text string").withColumn("_gone_doc", F.lit(1)).withColumn("_k", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in LD.dedup_lines(two).collect())
+    first = sorted([f"{x}\n{z}", f"{z}\nab\nab"])
+    assert [g for g in got if g[0] != "None"] == [("1", x), ("5", ""), ("5", ""), ("5", y)]
+    assert sorted(t for i, t in got if i == "None") in (sorted([z, "ab"]), sorted(["", f"{z}\nab"]))
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
@@ -237,44 +272,17 @@ def test_bit_parallel_band(spark):
         LD.within_edits(F.col("a"), F.col("b"), 4)
 
 
-def brute_lines(rows, edits, least):
-    first = {}
-    occ = []
-    for i, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
-        for at, line in enumerate(t.split("\n")):
-            if len(line) >= least:
-                occ.append((i, at, line))
-                first.setdefault(line, (i, at))
-    gone = defaultdict(set)
-    near = {x for x, f in first.items() for y, g in first.items() if g < f and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits}
-    for i, at, line in occ:
-        if first[line] != (i, at) or line in near:
-            gone[i].add(at)
-    return gone
-
-
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_line_dedup_is_that_of_all_pairs(spark, edits):
-    rng = random.Random(edits)
-    base = ["".join(rng.choice("ab é") for _ in range(rng.randint(4, 16))) for _ in range(25)]
-    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3), "ab é") for _ in range(rng.randint(0, 6)))) for i in rng.sample(range(1000), 60)]
-    got = {r["doc_id"]: r for r in LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits, 6).collect()}
-    gone = brute_lines(rows, edits, 6)
-    for i, t in rows:
-        assert got[i]["text"] == "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone[i])
-        assert got[i]["_gone"] == len(gone[i]) and got[i]["_lines"] == t.count("\n") + 1
-
-
-def test_short_lines_take_part_in_line_dedup(spark):
-    rng = random.Random(5)
-    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in [1, 2, 5, 10, 11, 12, 12, 13, 13, 22, 23, 23, 24, 24, 25, 25, 26, 40] * 3]
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_line_dedup_is_that_of_all_pairs(spark, most):
+    rng = random.Random(5 + most)
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in [1, 2, 5, 10, 11, 12, 12, 13, 13, 22, 23, 23, 24, 24, 25, 25, 26, 36, 37, 40] * 3]
     rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3), "ab é") if rng.random() < 0.9 else "" for _ in range(rng.randint(0, 7)))) for i in rng.sample(range(1000), 120)]
-    got = {r["doc_id"]: r["text"] for r in LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), most).collect()}
     seen, gone = {}, set()
     for i, t in sorted(rows):
         for at, line in enumerate(t.split("\n")):
             if line:
-                if line in seen or any(distance(line, x) <= min(2, len(x) // 12, len(line) // 12) for x in seen if abs(len(x) - len(line)) <= 2):
+                if line in seen or any(distance(line, x) <= min(most, len(x) // 12, len(line) // 12) for x in seen if abs(len(x) - len(line)) <= most):
                     gone.add((i, at))
                 seen.setdefault(line, i)
     assert sum(len(t.split("\n")[at]) < 24 for i, t in rows for at in range(t.count("\n") + 1) if (i, at) in gone) > 50

@@ -59,6 +59,15 @@ def test_labels_are_learnt_outside_the_fold_and_within_the_bound(spark, corpus,
     assert all(remainder(i, 4) != 2 for i, _, _ in sample)
     assert [sum(1 for s in sample if s[2] == c) for c in (0, 1)] == [50, 50]
     assert labelled.labelled_sample(corpus, labels.where("false"), "toxic", 4, 2, 50) == []
+    rows = labelled.labelled_rows(corpus, labels, "toxic", 4, 2, 50)
+    assert labelled.fitted(rows, lambda s, p: (p, s), 3) == (3, sample)
+
+
+def test_a_text_goes_with_the_label_of_its_own_row(spark):
+    docs = spark.createDataFrame([(4, "b text", "en"), (4, "a text", "de"), (7, "x", "fr"), (7, "w", None)], "doc_id long, text string, lang string")
+    held = lambda i: remainder(i, 5) == 0
+    got = labelled.labelled_sample(docs, None, "lang", 5, 0, 9)
+    assert got == [x for x in ((4, "b text", "en"), (7, "x", "fr")) if not held(x[0])] and got
 
 
 def test_gram_slots_and_distinct():
@@ -76,8 +85,54 @@ def test_gram_slots_and_distinct():
     assert list(labelled.gram_slots(b"", (1,), 8)) == [] and len(list(labelled.gram_slots(b"a", (2,), 8))) == 0
 
 
-def test_repeats():
-    assert quality.repeat_slots(b"a a a a", 4) == [16, 17, 18, 19] and quality.repeat_slots(b"a b c", 4) == [] and quality.repeat_slots(b"", 4) == []
+def test_pairs_of_words():
+    slots = lambda t, bits=16: np.concatenate([np.empty(0, np.uint32), *quality.pair_slots(t, bits)]).tolist()
+    assert slots(b"") == slots(b"one") == slots(b" one ") == []
+    a, b, c = slots(b"one two three one two"), slots(b"  one\ttwo\n"), slots(b"two one")
+    assert len(a) == 4 and a[0] == a[3] == b[0] and b != c and all(1 << 16 <= x < 2 << 16 for x in a)
+    text = " ".join(f"w{i % 97}" for i in range(1000)).encode()
+    before, quality._WORDS = quality._WORDS, 7
+    try:
+        parts = slots(text)
+    finally:
+        quality._WORDS = before
+    assert parts == slots(text) and len(parts) == 999
+
+
+def test_a_score_is_the_sum_of_weights(corpus):
+    """Recomputed slot by slot, and the descent's solution against the conditions of an optimum."""
+    sample = sorted((r["doc_id"], r["text"], r["doc_id"] % 2) for r in corpus.limit(60).collect())
+    p = quality.NbSvmParams(bits=10, epochs=400)
+    model = quality.fit(sample, p)
+    for _, text, _ in sample[:10]:
+        data = text.encode()
+        slots = {int(x) for part in (*labelled.gram_slots(data, p.orders, p.bits), *quality.pair_slots(data, p.bits)) for x in part}
+        margin = sum(float(model.weights[s]) for s in slots) / len(slots) ** 0.5 + model.bias
+        assert model.scores(iter([text]))[0] == pytest.approx(1 / (1 + np.exp(-(model.a * margin + model.b))), abs=1e-5)
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(30)]
+    y = np.array([1.0, -1.0] * 15)
+    ratio = rng.normal(size=40)
+    w, bias = quality._descend(rows, y, ratio, p)
+    x = np.zeros((30, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / len(r) ** 0.5
+    loss = lambda w, b: (w @ w + b * b) / 2 + p.cost * np.maximum(0, 1 - y * (x @ w + b)).sum()
+    best = loss(w, bias)
+    for _ in range(200):
+        assert loss(w + rng.normal(size=40) * 0.01, bias + rng.normal() * 0.01) >= best - 1e-6
+
+
+def test_a_language_is_that_of_the_mean_of_all_runs():
+    rng = np.random.default_rng(1)
+    p = langid.LangIdParams(bits=8, orders=(2, 3))
+    model = langid.LangId(["a", "b", "c"], rng.normal(size=(256, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.5, p)
+    for text in ("héllo wörld", "x y", "Ab " * 400):
+        slots = [int(x) for part in labelled.gram_slots(text.lower().encode(), p.orders, p.bits) for x in part]
+        z = (np.mean([model.table[s].astype(float) for s in slots], axis=0) + model.bias) / 0.7
+        e = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score, rejected = model.predict(text)
+        assert lang == "abc"[int(e.argmax())] and score == pytest.approx(e.max(), abs=1e-5) and rejected == (score < 0.5)
 
 
 def test_gradients_are_those_of_differences():
