@@ -92,6 +92,14 @@ def text_of(name: str | Column = "text") -> Column:
     return F.coalesce((F.col(name) if isinstance(name, str) else name).cast("string"), F.lit(""))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column is called so (in any case of letters)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def row_key(*cols: Column) -> list[Column]:
     """128 bits that tell rows apart by these columns, nulls included; rows that agree in all of them have one key."""
     told = [x for c in cols for x in (c.isNull(), c)]

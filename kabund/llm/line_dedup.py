@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kabund.llm.common import row_key, written
+from kabund.llm.common import free_name, row_key, written
 
 #: Characters whose counts tell most pairs of different lines apart before they are paired, and bits for each count.
 COUNTED, BITS = "eniratsodhlu", 2
@@ -229,9 +229,9 @@ def removed_lines(base: DataFrame, edits: int = EDITS) -> DataFrame:
     return gone.groupBy(F.col("d").alias("_gone_doc"), F.col("k").alias("_gone_k")).agg(F.collect_set("a").alias("_gone_ats"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, counts: tuple[str, str] | None = ("_lines", "_gone")) -> DataFrame:
-    """docs with the lines that repeat an earlier one taken out of text_col, and the columns named by counts: lines of a text, and how
-    many went.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with the lines that repeat an earlier one taken out of text_col, and two more columns, _lines and _gone (with underscores
+    behind them where docs has such columns): lines of a text, and how many went.
 
     All columns and rows of docs stay. A null text stays null; an empty text has one empty line, which stays. A line is earlier
     in a row with a lesser doc_id, of rows with one doc_id in that with the lesser hash of its text, and rows without a doc_id are the
@@ -260,6 +260,6 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", tex
             return F.col("_text").cast(kind).alias(c)
         return F.length("_text").cast(kind).alias(c) if c == length_col else F.col("_r")[c].alias(c)
 
-    told = lambda total, went: [total.alias(counts[0]), went.alias(counts[1])] if counts else []
+    told = lambda *values: [x.alias(free_name(c, docs.columns)) for x, c in zip(values, ("_lines", "_gone"), strict=True)]
     kept = kept.select(*[column(c) for c in docs.columns], *told(F.col("_total"), F.col("_went")))
     return kept.unionByName(docs.where(~has_text).select("*", *told(F.lit(0), F.lit(0))))
