@@ -203,7 +203,8 @@ def _near(base: DataFrame, firsts: DataFrame, budgets: list[tuple[int, int, int
     # lines of one length look for each other both ways: one way is enough
     other = F.when(F.col("_pm") >= F.lit(1 << 30), F.col("_h") < F.col("_ph")).otherwise(F.col("_h") != F.col("_ph"))
     paired = entries.join(probes, "_key").where(other & may_be_within(F.col("_m"), F.col("_pm"), budgets[-1][0]))
-    met = written(paired.select("_h", "_ph").distinct(), "met")
+    # said once more, so that the uses below stay one plan with those of the texts, whose exchange is then made once
+    met = paired.select("_h", "_ph").where("_h is not null and _ph is not null").distinct()
     # two lines with one hash are both looked at: the texts decide
     seen = met.select("_h").union(met.select(F.col("_ph"))).distinct()
     ends = part.join(seen, "_h", "left_semi").select(F.col("_first._doc").alias("_d"), F.col("_first._k").alias("_dk"), F.struct(F.col("_first._at").alias("at"), F.lit(0).alias("counts")).alias("_at"))
