@@ -170,11 +170,15 @@ ROW = ["_doc", "_k"]
 _NO_ID = (1 << 63) - 1
 
 
-def _picked(base: DataFrame, places: DataFrame) -> DataFrame:
-    """(_doc, _k, _at, _counts, _line): the lines of base at places (_d, _dk, _ats), an array of (at, counts) for each row."""
-    held = base.join(places.hint("shuffle_hash"), (F.col("_doc") == F.col("_d")) & (F.col("_k") == F.col("_dk")))  # places are small next to the texts
-    picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_ats"), lambda x: F.struct(x["at"].alias("_at"), x["counts"].alias("_counts"), F.element_at(ls, x["at"] + 1).alias("_line"))))
-    return held.select(*ROW, F.explode_outer(F.element_at(picked, 1)).alias("_l")).select(*ROW, "_l._at", "_l._counts", "_l._line").where("_doc is not null and _at is not null")
+def _picked(base: DataFrame, lines: DataFrame) -> DataFrame:
+    """(_place, _m, _line): of lines (_first: a struct of ROW and _at, _m, _c) the place, the number, the counts (_c) and the text."""
+    first = F.col("_first")
+    by_row = lines.select(first["_doc"].alias("_d"), first["_k"].alias("_dk"), F.struct(first["_at"].alias("at"), F.col("_m").alias("m"), F.col("_c").alias("c")).alias("_x"))
+    by_row = by_row.groupBy("_d", "_dk").agg(F.collect_list("_x").alias("_xs")).hint("shuffle_hash")  # small next to the texts
+    held = base.join(by_row, (F.col("_doc") == F.col("_d")) & (F.col("_k") == F.col("_dk")))
+    picked = F.transform(F.array(_lines(F.col("_text"))), lambda ls: F.transform(F.col("_xs"), lambda x: F.struct(x["at"].alias("_at"), x["m"].alias("_m"), x["c"].alias("_c"), F.element_at(ls, x["at"] + 1).alias("_line"))))
+    out = held.select(*ROW, F.explode_outer(F.element_at(picked, 1)).alias("_l")).where("_doc is not null and _l is not null")
+    return out.select(F.struct(*ROW, F.col("_l._at").alias("_at")).alias("_place"), "_l._m", "_l._c", "_l._line")
 
 
 def _budgets(edits: int) -> list[tuple[int, int, int | None]]:
@@ -193,25 +197,21 @@ def _close(a: Column, b: Column, budgets: list[tuple[int, int, int | None]]) ->
 def _near(base: DataFrame, firsts: DataFrame, budgets: list[tuple[int, int, int | None]]) -> DataFrame:
     """(d, k, a): the places of distinct lines within the edits of an earlier one that the shorter of both allows.
 
-    What is paired are the hashes of lines, so that what rides along with a key does not grow with what tells a row.
+    What is paired are the numbers of lines, so that what rides along with a key does not grow with what tells a row.
     """
-    part = firsts.where(F.col("_n_points") >= budgets[0][1])
-    by_row = part.select(F.col("_first._doc").alias("_d"), F.col("_first._k").alias("_dk"), F.struct(F.col("_first._at").alias("at"), F.col("_c").alias("counts")).alias("_at")).groupBy("_d", "_dk").agg(F.collect_list("_at").alias("_ats"))
-    wide = _picked(base, by_row).select(F.xxhash64("_line").alias("_h"), F.col("_counts").alias("_m"), F.encode("_line", "UTF-32").alias("_wide"))
-    entries, probes = index_rows(wide, ["_h", "_m"], budgets), probe_rows(wide, ["_h", "_m"], budgets)
-    probes = probes.select(F.col("_h").alias("_ph"), F.when(F.col("_same"), F.col("_m").bitwiseOR(F.lit(1 << 30))).otherwise(F.col("_m")).alias("_pm"), "_key")
+    part = firsts.where(F.col("_n_points") >= budgets[0][1]).select("_first", "_m", "_c")
+    wide = _picked(base, part).select("_m", "_c", F.encode("_line", "UTF-32").alias("_wide"))
+    entries, probes = index_rows(wide, ["_m", "_c"], budgets), probe_rows(wide, ["_m", "_c"], budgets)
+    probes = probes.select(F.col("_m").alias("_pm"), F.when(F.col("_same"), F.col("_c").bitwiseOR(F.lit(1 << 30))).otherwise(F.col("_c")).alias("_pc"), "_key")
     # lines of one length look for each other both ways: one way is enough
-    other = F.when(F.col("_pm") >= F.lit(1 << 30), F.col("_h") < F.col("_ph")).otherwise(F.col("_h") != F.col("_ph"))
-    paired = entries.join(probes, "_key").where(other & may_be_within(F.col("_m"), F.col("_pm"), budgets[-1][0]))
+    other = F.when(F.col("_pc") >= F.lit(1 << 30), F.col("_m") < F.col("_pm")).otherwise(F.col("_m") != F.col("_pm"))
+    paired = entries.join(probes, "_key").where(other & may_be_within(F.col("_c"), F.col("_pc"), budgets[-1][0]))
     # said once more, so that the uses below stay one plan with those of the texts, whose exchange is then made once
-    met = paired.select("_h", "_ph").where("_h is not null and _ph is not null").distinct()
-    # two lines with one hash are both looked at: the texts decide
-    seen = met.select("_h").union(met.select(F.col("_ph"))).distinct()
-    ends = part.join(seen, "_h", "left_semi").select(F.col("_first._doc").alias("_d"), F.col("_first._k").alias("_dk"), F.struct(F.col("_first._at").alias("at"), F.lit(0).alias("counts")).alias("_at"))
-    texts = _picked(base, ends.groupBy("_d", "_dk").agg(F.collect_list("_at").alias("_ats")))
-    texts = texts.select(F.xxhash64("_line").alias("_th"), F.struct(*ROW, "_at").alias("_place"), "_line")
-    one = met.join(texts, F.col("_h") == F.col("_th")).select("_ph", F.col("_place").alias("_x"), F.col("_line").alias("_a"))
-    both = one.join(texts, F.col("_ph") == F.col("_th")).select("_x", "_a", F.col("_place").alias("_y"), F.col("_line").alias("_b"))
+    met = paired.select("_m", "_pm").where("_m is not null and _pm is not null").distinct()
+    seen = met.select("_m").union(met.select("_pm")).distinct()
+    texts = _picked(base, part.join(seen, "_m", "left_semi")).select(F.col("_m").alias("_tm"), "_place", "_line")
+    one = met.join(texts, F.col("_m") == F.col("_tm")).select("_pm", F.col("_place").alias("_x"), F.col("_line").alias("_a"))
+    both = one.join(texts, F.col("_pm") == F.col("_tm")).select("_x", "_a", F.col("_place").alias("_y"), F.col("_line").alias("_b"))
     later = F.greatest("_x", "_y")
     return both.where(_close(F.col("_a"), F.col("_b"), budgets)).select(later["_doc"].alias("d"), later["_k"].alias("k"), later["_at"].alias("a"))
 
@@ -220,8 +220,9 @@ def removed_lines(base: DataFrame, edits: int = EDITS) -> DataFrame:
     """(_gone_doc, _gone_k, _gone_ats): of each row, the places (from 0) of its lines that go. base: _doc, _k and _text, not null."""
     lines = base.select(*ROW, F.posexplode_outer(_lines(F.col("_text"))).alias("_at", "_line")).where(F.length("_line") > 0)
     hashed = lines.select(*ROW, "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"), counts_of(F.col("_line")).alias("_c"), F.length("_line").alias("_n_points"))
-    # the first place of each distinct line
-    firsts = written(hashed.groupBy("_h", "_g").agg(F.min(F.struct(*ROW, "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c"), F.min("_n_points").alias("_n_points")), "lines")
+    # the first place of each distinct line, and a number, which it keeps as it is written
+    firsts = hashed.groupBy("_h", "_g").agg(F.min(F.struct(*ROW, "_at")).alias("_first"), F.count("*").alias("_n"), F.min("_c").alias("_c"), F.min("_n_points").alias("_n_points"))
+    firsts = written(firsts.withColumn("_m", F.monotonically_increasing_id()), "lines")
     # occurrences of a line behind its first one
     repeated = firsts.where("_n > 1").select("_h", "_g", "_first")
     gone = hashed.join(repeated, ["_h", "_g"]).where(F.struct(*ROW, "_at") != F.col("_first")).select(F.col("_doc").alias("d"), F.col("_k").alias("k"), F.col("_at").alias("a"))
