@@ -177,12 +177,15 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, p: MatchParams = MatchPara
     """
     bounded_batches(docs.sparkSession)
     for given in _blocks(benchmark, p):
+        docs = docs.where(_holds_none(given, p.rate)(text_of(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], given=given) -> Iterator[pd.Series]:
-            matcher = matcher_of(given, p.rate)
-            for t in texts:
-                yield pd.Series([next(matcher.find(x), None) is None for x in t], dtype=bool)
 
-        docs = docs.where(clean(text_of(text_col)))
-    return docs
+def _holds_none(given: tuple, rate: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = matcher_of(given, rate)
+        for t in texts:
+            yield pd.Series([next(matcher.find(x), None) is None for x in t], dtype=bool)
+
+    return clean
