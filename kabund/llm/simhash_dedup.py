@@ -70,15 +70,23 @@ EXACT_2 = SimHashParams(shingle=3, words=1, radius=2, tables=pigeonhole_tables(6
 @dataclass(frozen=True)
 class NearParams:
     """shingle: words of a shingle. like: least Jaccard likeness of a link, as (numerator, denominator). bands, rows: MinHash keys of
-    a document, and the minima in each; a pair at likeness j shares a key with a chance of 1 - (1 - j^rows)^bands."""
+    a document, and the minima in each; a pair at likeness j shares a key with a chance of 1 - (1 - j^rows)^bands. pivots: nodes of a
+    key that all others are checked against before any pair is. minima: of a signature; pairs with too few in common are not checked."""
 
     shingle: int = 5
     like: tuple[int, int] = (4, 5)
     bands: int = 20
     rows: int = 4
+    pivots: int = 16
+    minima: int = 160
+
+    def least_common(self) -> int:
+        """Minima that two sets right at `like` have in common, less 4.5 deviations: at 0.8, 105 of 160."""
+        n, j = self.minima, self.like[0] / self.like[1]
+        return max(1, int(n * j - 4.5 * (n * j * (1 - j)) ** 0.5))
 
     def __post_init__(self) -> None:
-        if self.shingle < 1 or self.bands < 1 or self.rows < 1 or not 0 < self.like[0] <= self.like[1]:
+        if self.shingle < 1 or self.bands < 1 or self.rows < 1 or self.pivots < 1 or self.minima < self.bands * self.rows or not 0 < self.like[0] <= self.like[1]:
             raise ValueError("shingle, bands and rows must be positive, and like in (0, 1]")
 
 
@@ -305,17 +313,19 @@ def _set_digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def band_keys(h: np.ndarray, p: NearParams) -> list[int]:
-    """A key for each band: a hash of the band's number and of its minima over the set, which must not be empty."""
+def signature(h: np.ndarray, p: NearParams) -> tuple[list[int], list[int]]:
+    """A key for each band: a hash of the band's number and of its minima over the set, which must not be empty. And 16 bits of each
+    minimum, behind its number."""
     draw = np.random.Generator(np.random.PCG64(8))
-    a, x = draw.integers(0, 1 << 64, size=(2, p.bands * p.rows, 1), dtype=np.uint64)
-    least = np.full(p.bands * p.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    a, x = draw.integers(0, 1 << 64, size=(2, p.minima, 1), dtype=np.uint64)
+    least = np.full(p.minima, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 1 << 11):
             z = (h[None, at : at + (1 << 11)] ^ x) * (a | np.uint64(1))
             np.minimum(least, z.min(axis=1), out=least)
-    minima = least.astype("<u8").reshape(p.bands, p.rows)
-    return [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(minima)]
+    minima = least[: p.bands * p.rows].astype("<u8").reshape(p.bands, p.rows)
+    short = (np.arange(len(least), dtype=np.int64) << 16) | (least & np.uint64(0xFFFF)).astype(np.int64)
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(minima)], short.tolist()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
@@ -333,41 +343,48 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     """(_a, _b, _id, c): of each row of rows (_a, _b: longs that tell rows apart, _id, _text: a text with words) the number of its component.
 
     Rows with one shingle set are one node. Nodes that share a band key are candidates, and a link is kept only where the sets
-    themselves are alike enough. Of each key's nodes, all are first checked against the lowest one; what that has not brought
-    together is then checked pair by pair. So a large group of copies costs about one check a node, and no candidate is left out.
+    themselves are alike enough. Of each key's nodes, all are first checked against p.pivots of them; what that has not brought
+    together is then checked pair by pair. So a large group of copies costs a few checks a node, and no candidate is left out.
     """
     bounded_batches(rows.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, p.shingle) for t in b["_text"]]
-            yield pd.DataFrame({"_a": b["_a"], "_b": b["_b"], "_id": b["_id"].astype("Int64"), "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [band_keys(h, p) for h in sets]})
+            signs = [signature(h, p) for h in sets]
+            yield pd.DataFrame({"_a": b["_a"], "_b": b["_b"], "_id": b["_id"].astype("Int64"), "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [s[0] for s in signs], "minima": [s[1] for s in signs]})
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, p.shingle) for t in b["_text"]]
             yield pd.DataFrame({"node": b["node"], "set": [h.view(np.int64) for h in sets]})
 
-    signed = written(rows.mapInPandas(sign, "_a long, _b long, _id long, digest binary, n int, keys array<long>"), "signatures")
+    signed = written(rows.mapInPandas(sign, "_a long, _b long, _id long, digest binary, n int, keys array<long>, minima array<int>"), "signatures")
     # numbered where they are written, so that a node keeps its number
     first = F.min(F.struct("_a", "_b")).alias("rep")
-    nodes = signed.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = signed.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("minima").alias("minima"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    lowest = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1").select("key", "low")
+    # the lowest node of a key in several orders, each the order of the numbers with other bits turned
+    turns = [0, *(random.Random(3 + i).getrandbits(62) for i in range(p.pivots - 1))]
+    least = [F.min(F.col("node").bitwiseXOR(F.lit(t).cast("long"))).alias(f"_l{i}") for i, t in enumerate(turns)]
+    lows = F.array_distinct(F.array(*[F.col(f"_l{i}").bitwiseXOR(F.lit(t).cast("long")) for i, t in enumerate(turns)]))
+    lowest = keyed.groupBy("key").agg(*least, F.count("*").alias("many")).where("many > 1").select("key", lows.alias("lows"))
     met = written(keyed.join(lowest, "key"), "met")
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("rep._a").alias("_a"), F.col("rep._b").alias("_b"))
     # a row that is there several times gives its node's set several times
     sets = written(rows.join(wanted, ["_a", "_b"]).select("node", "_text").mapInPandas(take, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
-    pairs = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = met.select("node", F.explode("lows").alias("low")).where("node <> low").select(F.least("low", "node").alias("u"), F.greatest("low", "node").alias("v")).distinct()
     linked = written(_checked(pairs, sets, p), "links")
     found = connected_components(linked).select("node", "component")
     labelled = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     open_ = written(labelled.join(mixed, "key", "left_semi"), "open")
-    x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}")) for i in (0, 1))
+    open_ = open_.join(nodes.select("node", "minima"), "node")
+    x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}"), F.col("minima").alias(f"m{i}")) for i in (0, 1))
     alike = F.least("s0", "s1") * p.like[1] >= F.greatest("s0", "s1") * p.like[0]
+    alike = alike & (F.size(F.array_intersect("m0", "m1")) >= p.least_common())
     cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
     cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(pairs, ["u", "v"], "left_anti")
     # what is left to join are components of the first step, so that its rounds are not run again
