@@ -545,14 +545,9 @@ def fmt_colored_header(spark, sf_dir):
     return ordered.select("query_idx", F.array_join(F.transform("t", lambda s: s["tag"]), " ").alias("tags"))
 
 
-@query("matrix_pivot", f"{_AB}, m AS (SELECT query_idx, color_id, median(ab) AS v FROM ab GROUP BY 1, 2) SELECT query_idx, 'item' || query_idx AS query, " + ", ".join(f"max(CASE WHEN color_id = {c} THEN v END) AS \"{c}\"" for c in range(5)) + " FROM m GROUP BY query_idx")
+@query("matrix_pivot", f"{_AB}, m AS (SELECT query_idx, 'item' || query_idx AS query, color_id, median(ab) AS v FROM ab GROUP BY 1, 3) SELECT * FROM (PIVOT m ON color_id USING max(v) GROUP BY query_idx, query)")
 def matrix_pivot(spark, sf_dir):
-    return matrix_pivot_all(spark, sf_dir).select("query_idx", "query", *map(str, range(5)))
-
-
-@query("matrix_pivot_all", None)
-def matrix_pivot_all(spark, sf_dir):
-    """As matrix_pivot, with a column for each dataset; SQL can't name them."""
+    """Medians with a column for each dataset."""
     ids = sorted(r["color_id"] for r in colors(spark, sf_dir).select("color_id").collect())
     wide = O.pivot_cells(O.median_cells(_abundances(spark, sf_dir)), looked_up(spark, sf_dir), [L.NOWHERE, *ids], "value", F.lit(None).cast("double"))
     return wide.select("query_idx", "query", *[F.coalesce(str(c), str(L.NOWHERE)).alias(str(c)) for c in ids])
@@ -561,7 +556,7 @@ def matrix_pivot_all(spark, sf_dir):
 @query("matrix_pivot_long", f"{_AB} SELECT query_idx, color_id, median(ab) AS value FROM ab GROUP BY 1, 2")
 def matrix_pivot_long(spark, sf_dir):
     """The pivot with all its columns, turned back into rows: what SQL has without a pivot."""
-    wide = matrix_pivot_all(spark, sf_dir)
+    wide = matrix_pivot(spark, sf_dir)
     ids = wide.columns[2:]
     rows = wide.select("query_idx", F.explode(F.array(*[F.struct(F.lit(int(c)).alias("color_id"), F.col(c).alias("value")) for c in ids])).alias("_c"))
     return rows.select("query_idx", "_c.color_id", "_c.value").where("value is not null")
