@@ -381,9 +381,11 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     labelled = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     open_ = written(labelled.join(mixed, "key", "left_semi"), "open")
-    open_ = open_.join(nodes.select("node", "minima"), "node")
-    x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}"), F.col("minima").alias(f"m{i}")) for i in (0, 1))
+    open_ = open_.join(nodes.select("node", "keys", "minima"), "node")
+    x, y = (open_.select("key", F.col("node").alias(f"n{i}"), F.col("n").alias(f"s{i}"), F.col("label").alias(f"l{i}"), F.col("keys").alias(f"k{i}"), F.col("minima").alias(f"m{i}")) for i in (0, 1))
     alike = F.least("s0", "s1") * p.like[1] >= F.greatest("s0", "s1") * p.like[0]
+    # a pair is taken at the first key it shares; as its labels differ, all keys it shares are open
+    alike = alike & (F.element_at(F.array_intersect("k0", "k1"), 1) == F.col("key"))
     alike = alike & (F.size(F.array_intersect("m0", "m1")) >= p.least_common())
     cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
     cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(pairs, ["u", "v"], "left_anti")
