@@ -12,8 +12,9 @@ fingerprints of the shard are sent to it as searches: trees have a bounded size,
 Trees are not sent to all tasks, as all trees together grow with the corpus; the searches are sent to the trees instead.
 A task reports a spanning forest of what it found, not all pairs.
 
-Near copies by a Jaccard likeness (near_components, keep_one) are another matter: at 0.8, 15 % of the bits differ, and neither a
-radius nor tables tell 0.8 from 0.75 or miss nothing. There MinHash bands find candidates and the shingle sets decide.
+Near copies by a Jaccard likeness (near_components, keep_one) start from the same search: fingerprints of the shingle sets, shards,
+BK-trees, and what these link is kept if the sets themselves are alike enough. At 0.8, 15 % of the bits differ, and tables of sampled bits
+miss some: links that the trees leave are looked for by MinHash bands, among what is still apart, and the sets decide again.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ EXACT_2 = SimHashParams(shingle=3, words=1, radius=2, tables=pigeonhole_tables(6
 class NearParams:
     """shingle: words of a shingle. like: least Jaccard likeness of a link, as (numerator, denominator). bands, rows: MinHash keys of
     a document, and the minima in each; a pair at likeness j shares a key with a chance of 1 - (1 - j^rows)^bands. pivots: nodes of a
-    key that all others are checked against before any pair is. minima: of a signature; pairs with too few in common are not checked."""
+    key that all others are checked against before any pair is. minima: of a signature; pairs with too few in common are not checked.
+    words, radius, tables: of the fingerprints that BK-trees search before; at 0.8 they differ by 19 of 128 bits, give or take 4."""
 
     shingle: int = 5
     like: tuple[int, int] = (4, 5)
@@ -79,6 +81,13 @@ class NearParams:
     rows: int = 4
     pivots: int = 16
     minima: int = 160
+    words: int = 2
+    radius: int = 30
+    tables: int = 16
+
+    def simhash(self, nodes: int) -> SimHashParams:
+        """Shards of a few of that many nodes on average, so that the search grows with the nodes and not with their square."""
+        return SimHashParams(self.shingle, self.words, self.radius, sampled_tables(64 * self.words, min(40, max(8, nodes.bit_length() - 2)), self.tables))
 
     def least_common(self) -> int:
         """Minima that two sets right at `like` have in common, less 4.5 deviations: at 0.8, 105 of 160."""
@@ -88,6 +97,8 @@ class NearParams:
     def __post_init__(self) -> None:
         if self.shingle < 1 or self.bands < 1 or self.rows < 1 or self.pivots < 1 or self.minima < self.bands * self.rows or not 0 < self.like[0] <= self.like[1]:
             raise ValueError("shingle, bands and rows must be positive, and like in (0, 1]")
+        if self.words < 1 or self.radius < 0 or self.tables < 1:
+            raise ValueError("words and tables must be positive, and radius not negative")
 
 
 #: Near copies: a Jaccard likeness of 0.8 or more of the sets of 5-word shingles. At 0.8 one pair in some 38,000 has no key in common.
@@ -142,6 +153,10 @@ def fingerprint(text: str, p: SimHashParams) -> str:
         n += len(h)
         for w in range(p.words):
             counts[w] += _bit_counts(_spread(h, w))
+    return _digits(counts, n)
+
+
+def _digits(counts: np.ndarray, n: int) -> str:
     return "".join(f"{sum(1 << int(i) for i in np.flatnonzero(2 * c > n)):016x}" if n else "0" * 16 for c in counts)
 
 
@@ -309,6 +324,11 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.array([], dtype=np.uint64)
 
 
+def set_fingerprint(h: np.ndarray, words: int) -> str:
+    """As fingerprint(), of a set of hashes: what repeats in the text counts once."""
+    return _digits(np.array([_bit_counts(_spread(h, w)) for w in range(words)]), len(h))
+
+
 def _set_digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.astype("<u8").tobytes(), digest_size=16).digest()
 
@@ -339,12 +359,27 @@ def _checked(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     return sized.where(shared * (num + den) >= (na + nb) * num).select(*pairs.columns)
 
 
+def _close_pairs(nodes: DataFrame, p: SimHashParams) -> DataFrame:
+    """(u, v), u < v: pairs of nodes (node, fp) that connect those whose fingerprints are within the radius of each other and share a shard."""
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = nodes.join(of_fp, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    found = links(of_fp, p)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct()
+
+
+def _labelled(rows: DataFrame, at: str, found: DataFrame, name: str) -> DataFrame:
+    """rows with the component that found (node, component) has for column `at`, or else what stands there."""
+    f = found.select(F.col("node").alias("_f"), F.col("component").alias("_c"))
+    return rows.join(f, F.col(at) == F.col("_f"), "left").withColumn(name, F.coalesce("_c", at)).drop("_f", "_c")
+
+
 def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     """(_a, _b, _id, c): of each row of rows (_a, _b: longs that tell rows apart, _id, _text: a text with words) the number of its component.
 
-    Rows with one shingle set are one node. Nodes that share a band key are candidates, and a link is kept only where the sets
-    themselves are alike enough. Of each key's nodes, all are first checked against p.pivots of them; what that has not brought
-    together is then checked pair by pair. So a large group of copies costs a few checks a node, and no candidate is left out.
+    Rows with one shingle set are one node. Nodes whose fingerprints the BK-trees link are candidates, and a link is kept only where the
+    sets themselves are alike enough; so are, then, nodes that share a band key and are still apart. Of each key's nodes, all are first
+    checked against p.pivots of them; what that has not brought together is then checked pair by pair. So a large group of copies
+    costs a few checks a node, and no candidate is left out.
     """
     bounded_batches(rows.sparkSession)
 
@@ -352,18 +387,19 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t, p.shingle) for t in b["_text"]]
             signs = [signature(h, p) for h in sets]
-            yield pd.DataFrame({"_a": b["_a"], "_b": b["_b"], "_id": b["_id"].astype("Int64"), "digest": [_set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [s[0] for s in signs], "minima": [s[1] for s in signs]})
+            yield pd.DataFrame({"_a": b["_a"], "_b": b["_b"], "_id": b["_id"].astype("Int64"), "digest": [_set_digest(h) for h in sets], "fp": [set_fingerprint(h, p.words) for h in sets], "n": [len(h) for h in sets], "keys": [s[0] for s in signs], "minima": [s[1] for s in signs]})
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, p.shingle) for t in b["_text"]]
             yield pd.DataFrame({"node": b["node"], "set": [h.view(np.int64) for h in sets]})
 
-    signed = written(rows.mapInPandas(sign, "_a long, _b long, _id long, digest binary, n int, keys array<long>, minima array<int>"), "signatures")
+    signed = written(rows.mapInPandas(sign, "_a long, _b long, _id long, digest binary, fp string, n int, keys array<long>, minima array<int>"), "signatures")
     # numbered where they are written, so that a node keeps its number
     first = F.min(F.struct("_a", "_b")).alias("rep")
-    nodes = signed.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("minima").alias("minima"))
+    nodes = signed.groupBy("digest").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("minima").alias("minima"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    close = written(_close_pairs(nodes.select("node", "fp"), p.simhash(nodes.count())), "close")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     # the lowest node of a key in several orders, each the order of the numbers with other bits turned
     turns = [0, *(random.Random(3 + i).getrandbits(62) for i in range(p.pivots - 1))]
@@ -371,14 +407,17 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     lows = F.array_distinct(F.array(*[F.col(f"_l{i}").bitwiseXOR(F.lit(t).cast("long")) for i, t in enumerate(turns)]))
     lowest = keyed.groupBy("key").agg(*least, F.count("*").alias("many")).where("many > 1").select("key", lows.alias("lows"))
     met = written(keyed.join(lowest, "key"), "met")
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("rep._a").alias("_a"), F.col("rep._b").alias("_b"))
+    asked = met.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("rep._a").alias("_a"), F.col("rep._b").alias("_b"))
     # a row that is there several times gives its node's set several times
     sets = written(rows.join(wanted, ["_a", "_b"]).select("node", "_text").mapInPandas(take, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
+    by_trees = connected_components(_checked(close, sets, p))
     pairs = met.select("node", F.explode("lows").alias("low")).where("node <> low").select(F.least("low", "node").alias("u"), F.greatest("low", "node").alias("v")).distinct()
-    linked = written(_checked(pairs, sets, p), "links")
-    found = connected_components(linked).select("node", "component")
-    labelled = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    pairs = written(_labelled(_labelled(pairs, "u", by_trees, "l0"), "v", by_trees, "l1").where("l0 <> l1"), "pairs")
+    by_keys = connected_components(_checked(pairs, sets, p).select(F.col("l0").alias("u"), F.col("l1").alias("v")))
+    label = written(_labelled(_labelled(nodes.select("node"), "node", by_trees, "first"), "first", by_keys, "label").select("node", "label"), "labels")
+    labelled = met.join(label, "node").select("key", "node", "n", "label")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     open_ = written(labelled.join(mixed, "key", "left_semi"), "open")
     open_ = open_.join(nodes.select("node", "keys", "minima"), "node")
@@ -388,12 +427,11 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     alike = alike & (F.element_at(F.array_intersect("k0", "k1"), 1) == F.col("key"))
     alike = alike & (F.size(F.array_intersect("m0", "m1")) >= p.least_common())
     cross = x.join(y, "key").where((F.col("l0") < F.col("l1")) & alike)
-    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(pairs, ["u", "v"], "left_anti")
-    # what is left to join are components of the first step, so that its rounds are not run again
+    cross = cross.select(F.least("n0", "n1").alias("u"), F.greatest("n0", "n1").alias("v"), "l0", "l1").distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    # what is left to join are components of the steps before, so that their rounds are not run again
     more = connected_components(_checked(cross, sets, p).select(F.col("l0").alias("u"), F.col("l1").alias("v")).distinct())
-    of_first = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("label"))
-    joined = of_first.join(more.select(F.col("node").alias("label"), F.col("component").alias("whole")), "label", "left")
-    return signed.select("_a", "_b", "_id", "digest").join(joined.select("digest", F.coalesce("whole", "label").alias("c")), "digest").drop("digest")
+    joined = _labelled(nodes.select("node", "digest").join(label, "node"), "label", more, "c")
+    return signed.select("_a", "_b", "_id", "digest").join(joined.select("digest", "c"), "digest").drop("digest")
 
 
 def keep_one(docs: DataFrame, p: NearParams = NEAR_08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -183,6 +184,28 @@ def test_near_copies_are_those_of_all_pairs(spark):
     assert kept == set(low) and 100 < len(texts) - len(kept) < 220
 
 
+def test_near_copies_are_searched_by_fingerprints(spark):
+    """With keys that only sets with all minima in common share, what BK-trees link is found all the same, by any table's shard."""
+    rng = random.Random(21)
+    p = SD.NearParams(bands=1, rows=160)
+    texts = []
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(rng.choice([400, 800, 1600]))]
+        for _ in range(10):
+            b = list(base)
+            for _ in range(3):
+                b[rng.randrange(len(b))] = f"v{rng.random()}"
+            texts.append(" ".join(b))
+    sets = [SD.shingle_set(t, p.shingle) for t in texts]
+    assert len({SD.signature(h, p)[0][0] for h in sets}) > 110
+    kept = {r["doc_id"] for r in SD.keep_one(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), p).collect()}
+    assert kept == set(range(0, 120, 10))
+    fps = spark.createDataFrame([(SD.set_fingerprint(h, p.words), i) for i, h in enumerate(sets)], "fp string, node long")
+    pairs = SD._close_pairs(fps, p.simhash(len(sets))).collect()
+    values = [int(SD.set_fingerprint(h, p.words), 16) for h in sets]
+    assert pairs and all(r["u"] < r["v"] and (values[r["u"]] ^ values[r["v"]]).bit_count() <= p.radius for r in pairs)
+
+
 def next_of(rows):
     """By descending id (null last), texts of one id by descending order."""
     key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode())
