@@ -22,6 +22,8 @@ from kabund.llm.common import free_name, row_key, written
 
 #: Characters whose counts tell most pairs of different lines apart before they are paired, and bits for each count.
 COUNTED, BITS = "eniratsodhlu", 2
+#: Bits of a segment's key. Keys ride in two dozen rows a line; what meets by chance is told apart when pairs are verified.
+KEY_BITS = 40
 #: Edits that make two lines the same, and code points of a line for each.
 EDITS, EACH = 2, 12
 
@@ -98,11 +100,15 @@ def _segment(n: Column, i: int, segments: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) > first_long, 1).otherwise(0)
 
 
+def _key(n: Column, i: int, content: Column) -> Column:
+    return F.xxhash64(n, F.lit(i), content).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
 def index_rows(lines: DataFrame, keep: list[str], budgets: list[tuple[int, int, int | None]]) -> DataFrame:
     """keep and _key: hashes of (length, number, content) of the segments of _wide, the line as four bytes a code point. A line's
     length tells which budget (edits, least, most), and so how many segments, it has."""
     n = _points(F.col("_wide"))
-    keys = [F.when(_within(n, least, most), F.xxhash64(n, F.lit(i), _cut(*_segment(n, i, edits + 1)))) for edits, least, most in budgets for i in range(1, edits + 2)]
+    keys = [F.when(_within(n, least, most), _key(n, i, _cut(*_segment(n, i, edits + 1)))) for edits, least, most in budgets for i in range(1, edits + 2)]
     return lines.select(*keep, F.explode_outer(F.array(*keys)).alias("_key")).where("_key is not null")
 
 
@@ -136,7 +142,7 @@ def probe_rows(lines: DataFrame, keep: list[str], budgets: list[tuple[int, int,
                 for off in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
                     at = start + F.lit(off)
                     fits = _within(n, least, most) & (at >= 1) & (at + size - 1 <= whole)
-                    keys[d > 0].append(F.when(fits, F.xxhash64(n, F.lit(i), _cut(at, size))))
+                    keys[d > 0].append(F.when(fits, _key(n, i, _cut(at, size))))
     # as columns first: what they have in common is computed once, and the code is split into methods that get compiled
     each = lines.select(*keep, *[k.alias(f"_k{i}") for i, k in enumerate(keys[0] + keys[1])])
     out = each.select(*keep, F.posexplode_outer(F.array(*[f"_k{i}" for i in range(len(keys[0]) + len(keys[1]))])).alias("_i", "_key")).where("_key is not null")

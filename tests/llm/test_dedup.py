@@ -206,6 +206,14 @@ def test_near_copies_are_searched_by_fingerprints(spark):
     assert pairs and all(r["u"] < r["v"] and (values[r["u"]] ^ values[r["v"]]).bit_count() <= p.radius for r in pairs)
 
 
+def test_segment_keys_are_short(spark):
+    """Two dozen keys a line are exchanged: five bytes each, and pairs that meet by chance are verified."""
+    lines = spark.createDataFrame([(i, f"line {i} of some twenty and more letters") for i in range(200)], "_m long, _line string").select("_m", F.encode("_line", "UTF-32").alias("_wide"))
+    for rows in (LD.index_rows(lines, ["_m"], LD._budgets(2)), LD.probe_rows(lines, ["_m"], LD._budgets(2))):
+        least, most = rows.agg(F.min("_key"), F.max("_key")).first()
+        assert 0 <= least < most < 1 << 40
+
+
 def next_of(rows):
     """By descending id (null last), texts of one id by descending order."""
     key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode())
