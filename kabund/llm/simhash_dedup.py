@@ -413,7 +413,9 @@ def near_components(rows: DataFrame, p: NearParams = NEAR_08) -> DataFrame:
     sets = written(rows.join(wanted, ["_a", "_b"]).select("node", "_text").mapInPandas(take, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
     by_trees = connected_components(_checked(close, sets, p))
-    pairs = met.select("node", F.explode("lows").alias("low")).where("node <> low").select(F.least("low", "node").alias("u"), F.greatest("low", "node").alias("v")).distinct()
+    # of a node's keys together, so that a pair is made once and not at each key that both share
+    asking = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("lows"))).alias("lows"))
+    pairs = asking.select("node", F.explode("lows").alias("low")).where("node <> low").select(F.least("low", "node").alias("u"), F.greatest("low", "node").alias("v")).distinct()
     pairs = written(_labelled(_labelled(pairs, "u", by_trees, "l0"), "v", by_trees, "l1").where("l0 <> l1"), "pairs")
     by_keys = connected_components(_checked(pairs, sets, p).select(F.col("l0").alias("u"), F.col("l1").alias("v")))
     label = written(_labelled(_labelled(nodes.select("node"), "node", by_trees, "first"), "first", by_keys, "label").select("node", "label"), "labels")
