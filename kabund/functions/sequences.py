@@ -43,6 +43,30 @@ def explode_keys(df: DataFrame, size: int, strand_free: bool = True, seq: str =
     return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(seq).cast("string").alias(seq)).mapInArrow(of, schema)
 
 
+def mapped(df: DataFrame, letters: str, bases: str, text: str = "text") -> DataFrame:
+    """df with seq in text's place, at its end: bases for letters (a to z) of either case, and nothing for all else. Worked out once a row,
+    wherever seq is used."""
+    ship(df.sparkSession)
+    kept = [f for f in df.schema if f.name != text]
+    schema = StructType([*kept, StructField("seq", StringType())])
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string").alias(text)).mapInArrow(packed.mapper(letters, bases, schema.fieldNames()), schema)
+
+
+def digests(df: DataFrame, wanted: list[str], size: int, mini: int | None = None, seq: str = "seq") -> DataFrame:
+    """df without seq, and the wanted sums of its s-mers (see packed._Digest), for each row that has one; letters are A, C, G and T."""
+    ship(df.sparkSession)
+    kept = [f for f in df.schema if f.name != seq]
+    schema = StructType([*kept, *(StructField(x, LongType()) for x in wanted)])
+    of = packed.digester(wanted, size, mini, schema.fieldNames())
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(seq).cast("string").alias(seq)).mapInArrow(of, schema)
+
+
+def minimizer_parts(df: DataFrame, size: int, mini: int, parts: int, seq: str = "seq") -> DataFrame:
+    """(part, n): how many s-mers' minimizers fall into each part, several rows for each; letters are A, C, G and T."""
+    ship(df.sparkSession)
+    return df.select(F.col(seq).cast("string").alias(seq)).mapInArrow(packed.mini_counter(size, mini, parts, ["part", "n"]), "part int, n long")
+
+
 def smer_text(size: int, code: str = "code", odd: str = "odd") -> Column:
     """The letters of a key: the digits to base 4 of its code, or what odd says."""
     digits = F.lpad(F.conv(F.col(code).cast("string"), 10, 4), size, "0")
