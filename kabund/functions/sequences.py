@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from kabund.functions import packed
+from kabund.functions import gathering, packed
 from kabund.params import Quantiser, Sampling
 from kabund.session import ship
 
@@ -67,6 +67,13 @@ def minimizer_parts(df: DataFrame, size: int, mini: int, parts: int, seq: str =
     return df.select(F.col(seq).cast("string").alias(seq)).mapInArrow(packed.mini_counter(size, mini, parts, ["part", "n"]), "part int, n long")
 
 
+def gathered(rows: DataFrame, size: int, strand_free: bool, low: int, reducer, schema: str) -> DataFrame:
+    """What reducer (see gathering.py) makes of all s-mers of rows (tag, seq); letters are A, C, G and T. One shuffle, of some two bytes an s-mer."""
+    ship(rows.sparkSession)
+    cut = rows.select(F.col("tag").cast("long"), F.col("seq").cast("string")).mapInArrow(gathering.cutter(size), gathering.CUT)
+    return cut.repartition("slot").sortWithinPartitions("slot").mapInArrow(gathering.gatherer(size, strand_free, low, reducer), schema)
+
+
 def smer_text(size: int, code: str = "code", odd: str = "odd") -> Column:
     """The letters of a key: the digits to base 4 of its code, or what odd says."""
     digits = F.lpad(F.conv(F.col(code).cast("string"), 10, 4), size, "0")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kabund.functions import gathering
 from kabund.functions import sequences as S
 from kabund.params import IndexParams
 
@@ -130,3 +133,59 @@ def merge_postings(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     if out is None:
         raise ValueError("nothing to merge")
     return out
+
+
+# sums over all postings of records in no index: none of them is ever a row. Letters are A, C, G and T, and s-mers are not sampled.
+#: Records (color_id, count, seq) and what is added to their color_id, of each index that is merged.
+Parts = list[tuple[DataFrame, int]]
+
+
+def _level_bits(p: IndexParams) -> int:
+    return int(p.quantiser.table[-1][0]).bit_length()
+
+
+def _tagged(parts: Parts, p: IndexParams) -> DataFrame:
+    """(tag, seq): a record's dataset and level."""
+    if p.sampling.kind != "none" and p.sampling.zero_bits:
+        raise ValueError("sampled s-mers are not summed up here")
+    out = None
+    for unitigs, offset in parts:
+        rows = accepted(unitigs, p).select(F.shiftleft(F.col("color_id").cast("long") + F.lit(offset), _level_bits(p)).bitwiseOR(F.col("level").cast("long")).alias("tag"), "seq")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("there are no records to sum up")
+    return out
+
+
+def level_sums(parts: Parts, p: IndexParams) -> DataFrame:
+    """(color_id, level, n, least, greatest): how many keys of a dataset have a level, and the codes of the outermost."""
+    low = _level_bits(p)
+    each = S.gathered(_tagged(parts, p), p.s, p.canonical, low, gathering.Levels, "tag long, n long, least long, greatest long")
+    owner, level = F.shiftright("tag", low).cast("int").alias("color_id"), F.col("tag").bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("level")
+    return each.groupBy(owner, level).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def owner_sums(parts: Parts, p: IndexParams) -> DataFrame:
+    """(n_colors, keys): how many keys so many datasets have."""
+    each = S.gathered(_tagged(parts, p), p.s, p.canonical, _level_bits(p), gathering.Owners, "n_colors long, keys long")
+    return each.groupBy("n_colors").agg(F.sum("keys").alias("keys"))
+
+
+def sketch_sums(parts: Parts, p: IndexParams) -> DataFrame:
+    """As statistics of a sketch by md5_hash: one row."""
+    low = _level_bits(p)
+    reducer = partial(gathering.Sketched, p.s, p.bloom_bits_log2)
+    rows = S.gathered(_tagged(parts, p), p.s, p.canonical, low, reducer, gathering.SKETCHED)
+    sums = rows.repartition("place").sortWithinPartitions("place").mapInArrow(gathering.statistician(low), "keys long, ones long, owned long")
+    t = sums.agg(*[F.sum(c).alias(c) for c in ("keys", "ones", "owned")], F.max("keys").alias("_any"))
+    ones, keys, owned = (F.when(F.col("keys") > 0, F.col(c)) for c in ("ones", "keys", "owned"))
+    return t.select(ones.alias("ones"), (ones - owned).alias("misleading"), (keys - ones).alias("silent"))
+
+
+def differences(one: list[DataFrame], other: list[DataFrame], p: IndexParams) -> DataFrame:
+    """different: how many (name, key, level) one side has more often than the other. Records (color_id, count, seq) of each index on
+    either side, whose color_id is the number of a name, the same on both sides."""
+    builds = max(len(one), len(other))
+    parts = [(u.withColumn("color_id", F.col("color_id").cast("long") * (2 * builds) + (2 * i + side)), 0) for side, all_of in enumerate((one, other)) for i, u in enumerate(all_of)]
+    each = S.gathered(_tagged(parts, p), p.s, p.canonical, _level_bits(p), partial(gathering.Differing, builds, _level_bits(p)), "different long")
+    return each.agg(F.coalesce(F.sum("different"), F.lit(0)).alias("different"))
