@@ -39,6 +39,10 @@ class KmerIndex:
         """sparse: postings of the keys that are not in dense (of all keys if that is None). unitigs: records of an index that isn't saved."""
         self.spark, self.params, self.sparse, self.colors, self.path, self.dense, self.unitigs = spark, params, sparse, colors, path, dense, unitigs
         self.records: DataFrame | None = None
+        #: Of an index that isn't saved: records of each index that was merged, with what their color_id goes up by.
+        self.parts: I.Parts = [] if unitigs is None else [(unitigs, 0)]
+        #: (color_id, name), without what it takes to count a dataset's k-mers.
+        self.names = colors.select("color_id", "name")
 
     @property
     def postings(self) -> DataFrame:
@@ -54,7 +58,9 @@ class KmerIndex:
         extra = [F.col(c) if c in colors.columns else F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("bytes", "long"))]
         named = colors.select(F.col("color_id").cast("int").alias("color_id"), "name", *extra).join(counts, "color_id", "left")
         named = named.select("color_id", "name", "path", "bytes", F.coalesce("kmer_count", F.lit(0)).cast("long").alias("kmer_count"))
-        return KmerIndex(unitigs.sparkSession, params, I.postings(unitigs, params), named, unitigs=unitigs)
+        index = KmerIndex(unitigs.sparkSession, params, I.postings(unitigs, params), named, unitigs=unitigs)
+        index.names = colors.select(F.col("color_id").cast("int").alias("color_id"), "name")
+        return index
 
     @staticmethod
     def build(spark: SparkSession, paths: list[str], params: IndexParams, sort: bool = True, allow_in_id: bool = False) -> KmerIndex:
@@ -206,15 +212,20 @@ class KmerIndex:
         first = indexes[0]
         if not all(first.params.can_merge(x.params) for x in indexes[1:]):
             raise ValueError("the indexes have different parameters")
-        sizes = [x.colors.count() for x in indexes]
+        sizes = [x.names.count() for x in indexes]
         if first.params.capacity and sum(sizes) > first.params.capacity:
             raise ValueError(f"{sum(sizes)} datasets are more than the capacity of {first.params.capacity}")
         post = I.merge_postings([(x.postings, n) for x, n in zip(indexes, sizes, strict=True)])
-        colors = None
+        colors = names = None
+        parts: I.Parts = []
         for x, at in zip(indexes, [sum(sizes[:i]) for i in range(len(sizes))], strict=True):
-            moved = x.colors.withColumn("color_id", (F.col("color_id") + at).cast("int"))
+            moved, called = (df.withColumn("color_id", (F.col("color_id") + at).cast("int")) for df in (x.colors, x.names))
             colors = moved if colors is None else colors.unionByName(moved)
-        return KmerIndex(first.spark, first.params, post.select("part", *I.KEY, "color_id", "level"), colors)
+            names = called if names is None else names.unionByName(called)
+            parts += [(u, offset + at) for u, offset in x.parts]
+        merged = KmerIndex(first.spark, first.params, post.select("part", *I.KEY, "color_id", "level"), colors)
+        merged.names, merged.parts = names, parts if all(x.parts for x in indexes) else []
+        return merged
 
     @staticmethod
     def merge_manifest(spark: SparkSession, manifest: str) -> KmerIndex:
