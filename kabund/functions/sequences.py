@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,6 +69,28 @@ def minimizer_parts(df: DataFrame, size: int, mini: int, parts: int, seq: str =
     return df.select(F.col(seq).cast("string").alias(seq)).mapInArrow(packed.mini_counter(size, mini, parts, ["part", "n"]), "part int, n long")
 
 
+def found_keys(rows: DataFrame, size: int, strand_free: bool, keys: pa.Table, sampling: Sampling, mini: int) -> DataFrame:
+    """(code, odd, color_id, level): those of rows (color_id, level, seq) that have one of the keys (code, odd); a few rows for each
+    key and dataset, one of them with its greatest level."""
+    ship(rows.sparkSession)
+    codes, odd = np.asarray(keys["code"].combine_chunks()).astype(np.int64), keys["odd"].to_pylist()
+    plain = np.sort(codes[[x == "" for x in odd]]) if len(codes) else codes
+    kept = None if sampling.kind == "none" or not sampling.zero_bits else packed.in_sample(sampling.kind, sampling.zero_bits, mini, strand_free)
+    of = packed.finder(size, strand_free, plain, {x.encode() for x in odd if x}, kept, ["code", "odd", "color_id", "level"])
+    whose = rows.schema["color_id"].dataType.simpleString()
+    return rows.select("color_id", F.col("level").cast("int").alias("level"), F.col("seq").cast("string")).mapInArrow(of, f"code long, odd string, color_id {whose}, level int")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """df behind a step that changes nothing: whatever uses it asks for the same columns, so that a shuffle under it is made once and not
+    once for each choice of columns."""
+    return df.mapInArrow(_as_it_is, df.schema)
+
+
+def _as_it_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
+
 def gathered(rows: DataFrame, size: int, strand_free: bool, low: int, reducer, schema: str) -> DataFrame:
     """What reducer (see gathering.py) makes of all s-mers of rows (tag, seq); letters are A, C, G and T. One shuffle, of some two bytes an s-mer."""
     ship(rows.sparkSession)

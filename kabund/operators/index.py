@@ -52,13 +52,19 @@ def postings(unitigs: DataFrame, p: IndexParams, only: DataFrame | None = None)
     """(part, code, odd, color_id, level): the greatest level of each s-mer and dataset. Levels are made once for each record; the
     maxima are partial before the one shuffle.
 
-    only: keys (code, odd), each once; others are left out before anything is shuffled. They are broadcast up to FEW_KEYS.
+    only: keys (code, odd) in the sample, each once; others are left out before anything is shuffled. Up to FEW_KEYS are looked for where
+    records are read, and no other s-mer is made a row.
     """
     rows = accepted(unitigs, p).select("color_id", "level", "seq")
-    kept = smers_of(rows, p).where("keep")
-    if only is not None:
-        kept = kept.join(some_keys(only), KEY, "left_semi")
-    best = kept.groupBy(*KEY, "color_id").agg(F.max("level").alias("level"))
+    few = only.select(*KEY).limit(FEW_KEYS + 1).toArrow() if only is not None else None
+    if few is not None and few.num_rows <= FEW_KEYS:
+        best = S.found_keys(rows, p.s, p.canonical, few, p.sampling, min(p.m, p.s)).groupBy(*KEY, "color_id").agg(F.max("level").alias("level"))
+        best = S.whole(best)  # what is found is asked for in several ways, and records should be read once
+    else:
+        kept = smers_of(rows, p).where("keep")
+        if only is not None:
+            kept = kept.join(only, KEY, "left_semi")
+        best = kept.groupBy(*KEY, "color_id").agg(F.max("level").alias("level"))
     return best.select(partition_of(p.partitions).alias("part"), *KEY, "color_id", "level")
 
 

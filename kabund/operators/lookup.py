@@ -45,7 +45,8 @@ def hits(smers: DataFrame, post: DataFrame, p: IndexParams, dense: DataFrame | N
 
 def hits_in_records(smers: DataFrame, unitigs: DataFrame, p: IndexParams) -> DataFrame:
     """As hits, of records that are in no index: s-mers that nobody asks for are left out before they are summed up."""
-    return hits(smers, postings(unitigs, p, only=asked_keys(smers)), p)
+    found = postings(unitigs, p, only=asked_keys(smers)).select(*KEY, "color_id", S.decode_level(F.col("level"), p.quantiser).alias("ab"))
+    return smers.where("keep").select("query_idx", "pos", *KEY).join(found, KEY).select("query_idx", "pos", "color_id", "ab")
 
 
 def smer_abundances(smers: DataFrame, found: DataFrame) -> DataFrame:
