@@ -78,7 +78,14 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else zstandard.ZstdDecompressor().decompressobj().decompress(content)
             records = data.decode("utf-8", "replace").split("\n>")
             for at in range(0, len(records), 10_000):
-                yield pd.DataFrame({"path": path, "start": 0, "n": range(at, min(len(records), at + 10_000)), "rec": records[at : at + 10_000]})
+                yield pd.DataFrame({"path": path, "start": 0, "rec": records[at : at + 10_000]})
+
+
+def _counted(raw: DataFrame) -> DataFrame:
+    """(_at, start, n, rec) of (path, start, rec) without blank records: n goes up by one from each record of a split to the next."""
+    record = F.regexp_replace(F.regexp_replace("rec", "\r", ""), r"^\s*>", "")
+    rows = raw.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("_at"), "start", record.alias("rec")).where(F.length(F.trim("rec")) > 0)
+    return rows.select("_at", "start", F.monotonically_increasing_id().alias("n"), "rec")
 
 
 def read_fasta(spark: SparkSession, files: list[InputFile], numbered: bool = False) -> DataFrame:
@@ -89,26 +96,23 @@ def read_fasta(spark: SparkSession, files: list[InputFile], numbered: bool = Fal
     sniffed = [f.path for f in files if f.bytes and f.kind.startswith("sniffed")]
     if by_codec:
         text = spark.read.option("lineSep", "\n>").text(by_codec)
-        parts.append(spread(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("rec"))))
+        parts.append(spread(_counted(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("rec")))))
     if sniffed:
         ship(spark)
         raw = spark.read.format("binaryFile").load(sniffed).select("path", "content")
-        parts.append(raw.mapInPandas(_unpacked, "path string, start long, n long, rec string"))
+        parts.append(_counted(raw.mapInPandas(_unpacked, "path string, start long, rec string")))
     if not parts:
         return spark.createDataFrame([], RECORDS)
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    record = F.regexp_replace(F.regexp_replace("rec", "\r", ""), r"^\s*>", "")
-    rows = rows.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("_at"), "start", "n", record.alias("rec")).where(F.length(F.trim("rec")) > 0)
     header = F.substring_index("rec", "\n", 1)
     body = F.when(F.instr("rec", "\n") > 0, F.expr("substring(rec, instr(rec, '\n') + 1)")).otherwise(F.lit(""))
     split = F.split(header, r"\s+", 2)
     rows = rows.select("_at", "start", "n", F.element_at(split, 1).alias("id"), F.when(F.size(split) > 1, F.element_at(split, 2)).alias("description"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
-    if numbered:  # numbers within a split, and from the splits before it
-        own = Window.partitionBy("_at", "start").orderBy("n")
-        sizes = rows.groupBy("_at", "start").agg(F.count("*").alias("_size"))
-        before = F.coalesce(F.sum("_size").over(Window.partitionBy("_at").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        offsets = sizes.select(F.col("_at").alias("_a"), F.col("start").alias("_s"), before.alias("_before"))
-        rows = rows.withColumn("_own", F.row_number().over(own) - 1).join(offsets, (F.col("_at") == F.col("_a")) & (F.col("start") == F.col("_s"))).withColumn("record_idx", F.col("_before") + F.col("_own"))
+    if numbered:  # from a split's first record, and from the splits before it; no record is moved
+        sizes = rows.groupBy(F.col("_at").alias("_a"), F.col("start").alias("_s")).agg(F.count("*").alias("_size"), F.min("n").alias("_least"))
+        before = F.coalesce(F.sum("_size").over(Window.partitionBy("_a").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = sizes.select("_a", "_s", "_least", before.alias("_before"))  # a row for each split, which the driver lists
+        rows = rows.join(F.broadcast(offsets), (F.col("_at") == F.col("_a")) & (F.col("start") == F.col("_s"))).withColumn("record_idx", F.col("_before") + F.col("n") - F.col("_least"))
     else:
         rows = rows.withColumn("record_idx", F.col("start") * 0 + F.col("n"))
     import re
